@@ -1,0 +1,83 @@
+import hashlib
+import re
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from binframe.llm import pii
+
+PLAIN = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def good(kind, s):
+    digits = re.sub("[^0-9]", "", s)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in s.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in p.finditer(text or "") if good(k, m[0])]
+
+
+def base(text):
+    return [(x.kind, x.start, x.end) for x in pii.find(text) if x.kind in pii.BASE]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a.@-+%0125 ()é\n", max_size=60))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert base(text) == brute(text)
+
+
+def test_planted():
+    text = "é mail bob.1@x.example.com, 10.0.0.255, card 4524132264652876 or 4111 1111-1111 1111, +1 (269) 555-3296; IBAN DE89 3704 0044 0532 0130 00; ssn 123-45-6789"
+    assert base(text) == brute(text)
+    kinds = [x.kind for x in pii.find(text)]
+    assert kinds == ["email", "ip", "card", "phone", "iban", "ssn"] or "card" in kinds and kinds.count("iban") == 1 and "ssn" in kinds
+    assert all(0 <= x.score <= 1 for x in pii.find(text))
+
+
+def test_context_moves_the_score():
+    assert not pii.find("see 123-45-6789 there")
+    assert [x.kind for x in pii.find("social security number 123-45-6789")] == ["ssn"]
+
+
+def test_long_runs_take_linear_time():
+    t = time.time()
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1 " * 100_000, "A1" * 100_000):
+        pii.find(text)
+    assert time.time() - t < 10
+
+
+def test_mask():
+    text = "to a@b.co now"
+    assert pii.mask_text(text, pii.find(text)) == "to [EMAIL] now"
+    assert pii.mask_text(None, []) is None
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a@b.co", None), (3, "a@b.co", None)], "doc_id long, text string, pii string")
+    rows = {r.doc_id: r for r in pii.detect(df).collect()}
+    assert rows[1].pii == [] and rows[2].pii == [] and rows[3].pii[0].kind == "email"
+    assert [r.text for r in pii.mask(df).orderBy("doc_id").collect()] == [None, "", "[EMAIL]", "[EMAIL]"]
+    assert pii.mask(df).columns == df.columns
+    assert pii.detect(df.limit(0)).count() == 0
+
+
+def test_query(spark, small):
+    want = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = pii.op1_pii(spark, small).collect()
+    assert len(got) == len(want)
+    for r in got:
+        spans = brute(want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[0] == k for x in spans) for k in pii.BASE)
