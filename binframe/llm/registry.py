@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module of this subpackage with a function of that name and, where SQL can express it, its SQL.
 QUERIES = {
     "op1_pii": "pii",
+    "op2_fingerprint": "fingerprint",
     "op3_bpe": "bpe",
     "op5_token_count": "token_count",
 }
