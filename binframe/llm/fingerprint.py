@@ -30,17 +30,34 @@ def pieces(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda p: p != "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _hashes(parts: Column, seed: int) -> Column:
+    return F.transform(parts, lambda p: F.xxhash64(F.lit(seed), p))
+
+
+def _spread(shift: int):
+    """Four bits of a hash, each in a lane of its own."""
+    return lambda x: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(15)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_BITS))
+
+
 def vector(parts: Column) -> Column:
     """array<bigint>: piece count, EQUAL lanes, WORDS packed words."""
-    hashed = lambda k: F.transform(parts, lambda p: F.xxhash64(F.lit(k), p))
     total = lambda xs, f, cap: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: (a + f(x)).bitwiseAND(F.lit(cap)))
-    lanes = [F.size(parts).cast("long")]
-    for k in range(SEEDS):
-        lanes += [total(hashed(k), lambda x: x.bitwiseAND(F.lit(_LOW32)), _LOW32), total(hashed(k), lambda x: F.shiftrightunsigned(x, 32), _LOW32)]
-    for w in range(WORDS):
-        spread = lambda x, s=4 * (w % 16): (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(15)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_BITS))
-        lanes.append(total(hashed(SEEDS + w // 16), spread, _CAP))
-    return F.array(*lanes)
+
+    def lanes(h: Column) -> Column:
+        out = [F.size(F.get(h, 0)).cast("long")]
+        for k in range(SEEDS):
+            out += [total(F.get(h, k), lambda x: x.bitwiseAND(F.lit(_LOW32)), _LOW32), total(F.get(h, k), lambda x: F.shiftrightunsigned(x, 32), _LOW32)]
+        for w in range(WORDS):
+            out.append(total(F.get(h, SEEDS + w // 16), _spread(4 * (w % 16)), _CAP))
+        return F.array(*out)
+
+    hashed = lambda ps: F.array(*[_hashes(ps, k) for k in range(SEEDS + WORDS // 16)])
+    return _let(parts, lambda ps: _let(hashed(ps), lanes))
 
 
 def _caps() -> Column:
@@ -70,9 +87,9 @@ def likeness(a: Column, b: Column) -> Column:
     lanes = lambda v: F.flatten(F.transform(F.slice(v, 2 + EQUAL, WORDS), lambda w: F.array(*[F.shiftrightunsigned(w, s).bitwiseAND(F.lit(0xFFFF)) for s in (0, 16, 32, 48)])))
     centre = lambda v: F.transform(lanes(v), lambda x: (2 * x - F.get(v, 0)).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    x, y = centre(a), centre(b)
-    cosine = dot(x, y) / F.nullif(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(0.0))
-    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
+    cosine = lambda xy: dot(F.get(xy, 0), F.get(xy, 1)) / F.nullif(F.sqrt(dot(F.get(xy, 0), F.get(xy, 0))) * F.sqrt(dot(F.get(xy, 1), F.get(xy, 1))), F.lit(0.0))
+    near = _let(F.array(centre(a), centre(b)), cosine)
+    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(near, F.lit(0.0)))))
 
 
 def fingerprint(df: DataFrame, text: str = "text", *, output: str = "fingerprint") -> DataFrame:
