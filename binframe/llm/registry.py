@@ -13,6 +13,7 @@ QUERIES = {
     "op2_fingerprint": "fingerprint",
     "op3_bpe": "bpe",
     "op5_token_count": "token_count",
+    "op7_token_io": "token_io",
 }
 
 
