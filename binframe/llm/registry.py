@@ -14,6 +14,7 @@ QUERIES = {
     "op3_bpe": "bpe",
     "op5_token_count": "token_count",
     "op7_token_io": "token_io",
+    "op8_jaccard_join": "jaccard_join",
     "op10_decontaminate": "decontaminate",
 }
 
