@@ -15,6 +15,7 @@ QUERIES = {
     "op5_token_count": "token_count",
     "op7_token_io": "token_io",
     "op8_jaccard_join": "jaccard_join",
+    "op9_suffix_dedup": "suffix_dedup",
     "op10_decontaminate": "decontaminate",
 }
 
