@@ -44,6 +44,7 @@ def map_text(
     fields: list[T.StructField],
     text: str = "text",
     keep: list[str] | None = None,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Append columns computed from whole texts, batch by batch, without a shuffle.
 
@@ -62,7 +63,7 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in slices(batch, hidden):
+            for part in slices(batch, hidden, limit):
                 out = fn(part.column(hidden))
                 cols = [part.column(c) for c in carry] + [a if a.type == t else a.cast(t) for a, t in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, [*carry, *(f.name for f in fields)])
@@ -76,6 +77,11 @@ def _arrow(field: T.StructField) -> pa.DataType:
     return to_arrow_type(field.dataType)
 
 
+def fold(id_col: str, of: int):
+    """crc32 of the id as text, modulo ``of``: the fold of a row."""
+    return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(of))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set only where the session has none (tests, one machine)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -12,6 +12,7 @@ QUERIES = {
     "op1_pii": "pii",
     "op2_fingerprint": "fingerprint",
     "op3_bpe": "bpe",
+    "op4_langid": "langid",
     "op5_token_count": "token_count",
     "op7_token_io": "token_io",
     "op8_jaccard_join": "jaccard_join",
