@@ -38,8 +38,8 @@ N, PERCENT = 3, 90
 SPARE = 2
 #: Size classes grow by this ratio.
 RATIO = 1.5
-#: A hot pivot's comparisons go to so many tasks.
-SALT = 16
+#: Comparisons of one pivot that go to one task.
+PAIRS = 1000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -184,9 +184,12 @@ def _lists(sets: DataFrame) -> DataFrame:
 
 def _compare(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """a, b, common, total of pairs of nodes; held: node, packed set."""
-    left = pairs.join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").withColumn("salt", F.pmod("a", F.lit(SALT)))
-    pivots = held.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-    right = pivots.select(F.col("node").alias("b"), F.col("packed").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    # A pivot with many pairs goes to several tasks, every other one to one.
+    share = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("salts"))
+    salted = pairs.join(share, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts"))
+    left = salted.select("a", "b", "salt").join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
+    pivots = held.join(share.withColumnRenamed("b", "node"), "node")
+    right = pivots.select(F.col("node").alias("b"), F.col("packed").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
