@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from binframe.sources.bytes import FatalFormatError, Source, issue
 
 L, S = T.LongType(), T.StringType()
-FIELDS = [T.StructField(n, t) for n, t in (("interface_id", L), ("section", L), ("if_index", L), ("linktype", L), ("snaplen", L), ("name", S), ("description", S), ("os", S), ("comment", S), ("ts_resolution", S), ("ts_offset_s", L), ("ts_us", L), ("ts_ns", L), ("caplen", L), ("len", L), ("body", T.BinaryType()))]
+FIELDS = [T.StructField(n, t) for n, t in (("interface_id", L), ("section", L), ("if_index", L), ("linktype", L), ("snaplen", L), ("name", S), ("description", S), ("os", S), ("comment", S), ("ts_resolution", S), ("ts_offset_s", L), ("ts_us", L), ("ts_ns", L), ("caplen", L), ("len", L), ("body_offset", L), ("body", T.BinaryType()))]
 
 #: Longest record that is read; longer ones are skipped.
 MOST = 16 << 20
@@ -50,7 +50,7 @@ def read_pcap(source: Source) -> Iterator[dict[str, Any]]:
             issues.append(issue("OVERSIZED_RECORD", at, end))
         else:
             body, ns = source.read(at + 16, incl), sec * 1_000_000_000 + frac * scale
-            yield {"kind": "packet", "interface_id": 1, "linktype": _linktype(linktype, body), "ts_us": ns // 1000, "ts_ns": ns, "caplen": incl, "len": orig, "body": body, "_src_start": at, "_src_end": end}
+            yield {"kind": "packet", "interface_id": 1, "linktype": _linktype(linktype, body), "ts_us": ns // 1000, "ts_ns": ns, "caplen": incl, "len": orig, "body_offset": 16, "body": body, "_src_start": at, "_src_end": end}
         at = end
     yield from issues
 
@@ -198,7 +198,7 @@ def _packet(block: bytes, kind: int, order: str, interfaces: list[_Interface | N
         if ns is None:
             issues.append(issue("TIMESTAMP_OUT_OF_RANGE", at, end))
     body = block[start : start + caplen]
-    yield {"kind": "packet", "interface_id": one.number, "linktype": _linktype(one.linktype, body), "ts_us": None if ns is None else ns // 1000, "ts_ns": ns, "caplen": caplen, "len": size, "comment": comment, "body": body, "_src_start": at, "_src_end": end}
+    yield {"kind": "packet", "interface_id": one.number, "linktype": _linktype(one.linktype, body), "ts_us": None if ns is None else ns // 1000, "ts_ns": ns, "caplen": caplen, "len": size, "comment": comment, "body_offset": start, "body": body, "_src_start": at, "_src_end": end}
 
 
 def read_capture(source: Source) -> Iterator[dict[str, Any]]:
