@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from binframe.plans import relational
+from binframe.plans import binary, relational
 
-_MODULES = [relational]
+_MODULES = [relational, binary]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
