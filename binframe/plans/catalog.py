@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from binframe.plans import binary, relational
+from binframe.plans import binary, projections, relational
 
-_MODULES = [relational, binary]
+_MODULES = [relational, projections, binary]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
