@@ -9,7 +9,7 @@ every list but those, hence all entries that share just some frequent shingle. C
 alone: no statistics of the corpus are gathered, and nothing is capped.
 
 Answers: in each list all sets are compared with one pivot, and linked sets become one component. Lists that then lie within
-one component are done: their other links follow. In the rest more pivots follow, eight times as many in each round until
+one component are done: their other links follow. In the rest more pivots follow, 64 times as many in each round until
 every set has been one, but only pairs of different components are compared, and of those only where the distances to the
 first pivot leave it open (Jaccard distance is a metric: sets whose distances differ by more than the limit can't be
 linked). The number of compared pairs so stays near that of linked sets, even in groups of thousands of near copies.
@@ -38,6 +38,8 @@ N, PERCENT = 3, 90
 SPARE = 2
 #: Size classes grow by this ratio.
 RATIO = 1.5
+#: More pivots in each round.
+MORE = 64
 #: Comparisons of one pivot that go to one task.
 PAIRS = 1000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -52,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -135,7 +137,7 @@ def index(df: DataFrame, id_col: str, text: str, n: int = N, percent: int = PERC
         return fn
 
     frame = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return spill(map_text(frame, make, SETS, keep=["doc_id"]), "sets")
+    return spill(map_text(frame, make, SETS, keep=["doc_id"], limit=2 << 20), "sets")
 
 
 def _lists(sets: DataFrame) -> DataFrame:
@@ -193,8 +195,7 @@ def _compare(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            both = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
+            both = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c for c, _ in both], pa.int64()), pa.array([t for _, t in both], pa.int64())], ["a", "b", "common", "total"])
 
     joined = left.join(right, ["b", "salt"]).select("a", "b", "x", "y")
@@ -208,16 +209,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     only ever replaced, so that no step makes more than two for each. The answer is written after each step.
     """
     edges = spill(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    digest = None
     for _ in range(most):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        after = spill(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        same = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() == edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        edges = after
-        if same:
+        edges = spill(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        before, digest = digest, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if before == digest or not digest[0]:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -257,7 +258,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int =
         rest = spill(labelled.join(open_, "key").join(far, ["node", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "open")
         if rest.isEmpty():
             break
-        pivots *= 8
+        pivots *= MORE
         chosen = rest.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("many") < F.lit(pivots << 20)).select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("d").alias("bd"))
         near = (F.col("component") != F.col("bc")) & (F.abs(F.col("d") - F.col("bd")) <= wide) & (100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
         more = rest.join(chosen, "key").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
