@@ -231,6 +231,8 @@ class Lowering:
     def _binary(self, op: str, a: Value, b: Value) -> Value:
         if op in ("and", "&&", "or", "||"):
             test = truthy(a)
+            if {a.kind, b.kind} == {"long", "double"}:
+                a, b, _ = self._alike(a, b)
             if a.kind != b.kind and "null" not in (a.kind, b.kind):
                 return Value(test & truthy(b) if op in ("and", "&&") else test | truthy(b), "bool")
             kind = b.kind if a.kind == "null" else a.kind

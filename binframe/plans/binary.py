@@ -33,8 +33,8 @@ def frames_of(files: Encoded, name: str) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from binframe.sources.bytes import COMMON, Memory, _batches
-    from binframe.sources.bytes import frames_of as read
+    from binframe.sources.framing import COMMON, Memory, _batches
+    from binframe.sources.framing import frames_of as read
 
     f = next(f for f in sources.FORMATS if f.name == name)
     schema = T.StructType(COMMON + f.fields)

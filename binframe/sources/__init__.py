@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from binframe.sources import pcap, smf, zip as zip_
-from binframe.sources.bytes import Framer, data_source, read_frames
+from binframe.sources import archive, pcap, smf
+from binframe.sources.framing import Framer, data_source, read_frames
 
 HEAD = 4096
 
@@ -32,7 +32,7 @@ class Format:
 FORMATS = (
     Format("midi", smf.read_smf, smf.FIELDS, ((0, b"MThd", 1.0),)),
     Format("capture", pcap.read_capture, pcap.FIELDS, tuple((0, m.to_bytes(4, "big"), 1.0) for m in pcap.MAGIC)),
-    Format("zip", zip_.read_zip, zip_.FIELDS, ((0, b"PK\3\4", 1.0), (0, b"PK\5\6", 0.9))),
+    Format("zip", archive.read_zip, archive.FIELDS, ((0, b"PK\3\4", 1.0), (0, b"PK\5\6", 0.9))),
 )
 
 

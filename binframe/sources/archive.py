@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from binframe.sources.bytes import Source, issue
+from binframe.sources.framing import Source, issue
 
 L, S = T.LongType(), T.StringType()
 _NUMBERS = ("version_made_by", "version_needed", "flags", "compression_method", "crc32", "compressed_size", "uncompressed_size", "extra_len", "disk_start", "internal_attrs", "external_attrs", "ofs_local_header", "num_entries", "central_dir_size", "ofs_central_dir")

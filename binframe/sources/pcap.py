@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from binframe.sources.bytes import FatalFormatError, Source, issue
+from binframe.sources.framing import FatalFormatError, Source, issue
 
 L, S = T.LongType(), T.StringType()
 FIELDS = [T.StructField(n, t) for n, t in (("interface_id", L), ("section", L), ("if_index", L), ("linktype", L), ("snaplen", L), ("name", S), ("description", S), ("os", S), ("comment", S), ("ts_resolution", S), ("ts_offset_s", L), ("ts_us", L), ("ts_ns", L), ("caplen", L), ("len", L), ("body_offset", L), ("body", T.BinaryType()))]

@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from binframe.sources.bytes import FatalFormatError, Source, issue
+from binframe.sources.framing import FatalFormatError, Source, issue
 
 L, S = T.LongType(), T.StringType()
 FIELDS = [T.StructField(n, L) for n in ("format", "num_tracks", "division", "track", "event_index", "delta_time", "tick", "status", "meta_type", "channel", "note", "velocity", "controller", "value", "program", "pressure", "bend", "us_per_quarter")] + [T.StructField("event", S)]
