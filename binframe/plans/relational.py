@@ -77,7 +77,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "tempo_map": """WITH t AS (SELECT event_id AS tick, CAST(floor(1000 + value * 10) AS BIGINT) AS us FROM {events} WHERE event_type = 'click'),
         seeded AS (SELECT tick, us FROM t UNION ALL SELECT 0 AS tick, 500000 AS us WHERE NOT EXISTS (SELECT 1 FROM t WHERE tick = 0)),
         stepped AS (SELECT tick, us, lag(tick, 1, tick) OVER (ORDER BY tick) AS before, lag(us, 1, us) OVER (ORDER BY tick) AS us_before FROM seeded)
-        SELECT tick, us, round(sum((tick - before) * us_before / 480.0 / 1000000) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING), 6) AS seconds FROM stepped""",
+        SELECT tick, us, CAST(sum((tick - before) * us_before) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 480000000 AS seconds FROM stepped""",
     "approx_stats": ("SELECT event_type, count(*) AS n, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) + 1 AS close, abs(percentile_approx(value, 0.5) - percentile(value, 0.5)) < 1 AS middle FROM {events} GROUP BY event_type", "SELECT event_type, count(*) AS n, true AS close, true AS middle FROM {events} GROUP BY event_type"),
     "not_in_null_safe": "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_custkey IS NOT NULL)",
     "duplicate_labels": ("SELECT c0 AS first, c1 AS second FROM (SELECT 10 AS c0, 'x' AS c1)", "SELECT 10 AS first, 'x' AS second"),
