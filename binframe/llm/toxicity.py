@@ -1,6 +1,7 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-Words in lower case are hashed to embeddings; filters over one, two and three words are pooled by their maximum over the whole
+Words in lower case are hashed to embeddings; a word that few texts of the fit hold shares one with all words of its first four
+letters, or has none where these are as rare. Filters over one, two and three words are pooled by their maximum over the whole
 text, and a linear layer gives the score. Thresholds are calibrated by language: a text's language is told by its function
 words, and the score is moved so that the best threshold of its language is 0.5. Filters' products with all embeddings are
 tabulated, so that scoring a text is adding rows of tables.
@@ -26,6 +27,8 @@ from binframe.llm._util import fold, map_text, table
 #: Labelled rows to fit on at most.
 MOST = 4000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
+#: Letters that a rare word is known by, and the least length of such a word, in bytes.
+PREFIX, LONGER = 4, 6
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 39 else 32 for b in range(256))
 #: Function words by which a text's language is told, for its threshold.
 FUNCTION_WORDS = {
@@ -40,7 +43,9 @@ class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        self[word] = k = 1 + xxhash.xxh3_64_intdigest(word) % (BUCKETS - 1)
+        k = 1 + xxhash.xxh3_64_intdigest(word) % (BUCKETS - 1)
+        p = 1 + xxhash.xxh3_64_intdigest(word[:PREFIX] + b"*") % (BUCKETS - 1) if len(word) >= LONGER else 0
+        self[word] = k = k | p << 15
         return k
 
 
@@ -48,7 +53,7 @@ _KNOWN = _Buckets()
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """Bucket of each word; 0 is no word."""
+    """Bucket of each word, and 15 bits up that of its first letters (0: none)."""
     return np.fromiter(map(_KNOWN.__getitem__, (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split()), np.int32)
 
 
@@ -57,7 +62,7 @@ def _language_table() -> tuple[list[str], np.ndarray]:
     out = np.zeros((BUCKETS, len(langs)), np.int32)
     for k, lang in enumerate(langs):
         for w in FUNCTION_WORDS[lang].split():
-            out[_KNOWN[w.encode()], k] = 1
+            out[_KNOWN[w.encode()] & BUCKETS - 1, k] = 1
     return langs, out
 
 
@@ -86,6 +91,7 @@ def _lay_out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     embed: np.ndarray
+    known: np.ndarray
     filters: list[np.ndarray]
     bias: np.ndarray
     out: np.ndarray
@@ -97,7 +103,12 @@ class Model:
     @classmethod
     def start(cls, seed: int) -> Model:
         r = np.random.default_rng(seed)
-        return cls((r.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32) * (np.arange(BUCKETS) > 0)[:, None].astype(np.float32), [(r.standard_normal((w, DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), (r.standard_normal(FILTERS * len(WIDTHS)) * 0.1).astype(np.float32), 0.0)
+        return cls((r.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32) * (np.arange(BUCKETS) > 0)[:, None].astype(np.float32), np.arange(BUCKETS) > 0, [(r.standard_normal((w, DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), (r.standard_normal(FILTERS * len(WIDTHS)) * 0.1).astype(np.float32), 0.0)
+
+    def pick(self, row: np.ndarray) -> np.ndarray:
+        """The embedding of each word: its own, that of its first letters, or none (0)."""
+        word, prefix = row & BUCKETS - 1, row >> 15
+        return np.where(self.known[word], word, np.where(self.known[prefix], prefix, 0)).astype(np.int32)
 
     def _pool(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Maximum of every filter over every text, from the tables."""
@@ -117,7 +128,7 @@ class Model:
         if not rows:
             return np.zeros(0), np.zeros(0, np.int64)
         flat, at = _lay_out(rows)
-        return self._pool(flat, at) @ self.out + self.out_bias, languages(flat[: int(at[-1])], at)
+        return self._pool(self.pick(flat), at) @ self.out + self.out_bias, languages(flat[: int(at[-1])] & BUCKETS - 1, at)
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         if not self.trained:
@@ -126,17 +137,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z - self.shift[lang], -30, 30)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Model:
+def fit(rows: list[np.ndarray], label: np.ndarray, *, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 3, negatives: float = 1.0) -> Model:
     """Adam on the logistic loss with classes in balance, then thresholds by language on a fifth that was left out."""
     m = Model.start(seed)
     if not len(rows) or label.min() == label.max():
         m.trained = False
         return m
     r = np.random.default_rng(seed)
-    # A word of one or two texts can only be learnt by heart: it stays without an embedding.
-    spread = np.bincount(np.concatenate([np.unique(x) for x in rows]), minlength=BUCKETS)
-    m.embed[spread < 3] = 0
-    rows = [np.where(spread[x] < 3, 0, x) for x in rows]
+    # A word of few texts can only be learnt by heart.
+    spread = np.bincount(np.concatenate([np.unique(np.r_[x & BUCKETS - 1, x >> 15]) for x in rows]), minlength=BUCKETS)
+    m.known = spread >= max(3, len(rows) // 400)
+    m.known[0] = False
+    m.embed[~m.known] = 0
+    whole, rows = rows, [m.pick(x) for x in rows]
     order = r.permutation(len(rows))
     check, learn = order[: len(order) // 5], order[len(order) // 5 :]
     if label[learn].min() == label[learn].max():
@@ -195,26 +208,30 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, epochs: int = 6, batch: in
             bias_out = [0.9 * bias_out[0] + 0.1 * gb, 0.99 * bias_out[1] + 0.01 * gb * gb]
             m.out_bias -= rate * (bias_out[0] / fix1) / (np.sqrt(bias_out[1] / fix2) + 1e-6)
         m.tables = None
-        z, _ = m.logits([rows[k] for k in check])
+        z, _ = m.logits([whole[k] for k in check])
         y = label[check]
         loss = float(np.mean(np.logaddexp(0, np.where(y == 1, -z, z)) * weight[check]))
         if best is None or loss < best[0]:
             best = (loss, [p.copy() for p in flat_params] + [m.out_bias])
     m.embed, m.filters, m.bias, m.out, m.out_bias = best[1][0], best[1][1 : 1 + len(WIDTHS)], best[1][-3], best[1][-2], best[1][-1]
     m.tables = None
-    z, lang = m.logits([rows[k] for k in check])
+    z, lang = m.logits([whole[k] for k in check])
     y = label[check]
-    everywhere = _threshold(z, y)
-    m.shift = np.array([_threshold(z[lang == k], y[lang == k]) if (y[lang == k] == 1).sum() >= 10 and (y[lang == k] == 0).sum() >= 10 else everywhere for k in [*range(len(_LANGS)), -1]])
+    everywhere = _threshold(z, y, negatives)
+    m.shift = np.array([_threshold(z[lang == k], y[lang == k], negatives) if (y[lang == k] == 1).sum() >= 10 and (y[lang == k] == 0).sum() >= 10 else everywhere for k in [*range(len(_LANGS)), -1]])
     return m
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Where the F1 score is best, halfway to the next lower score."""
+def _threshold(z: np.ndarray, y: np.ndarray, negatives: float) -> float:
+    """Where the F score that counts a false alarm twice is best, halfway to the next lower score.
+
+    negatives: how many rows without the label each one here stands for.
+    """
     order = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + max(1, y.sum()))
-    k = int(np.argmax(f1))
+    alarms = (np.arange(1, len(z) + 1) - hits) * negatives
+    f = 1.25 * hits / (hits + alarms + 0.25 * max(1, y.sum()))
+    k = int(np.argmax(f))
     return float(z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2
 
 
@@ -235,10 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     some = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id")
 
     def make():
-        return lambda texts: [pa.array([word_ids(t).astype(np.uint16).tobytes() for t in texts.to_pylist()], pa.binary())]
+        return lambda texts: [pa.array([word_ids(t).tobytes() for t in texts.to_pylist()], pa.binary())]
 
     got = sorted(map_text(some, make, [T.StructField("words", T.BinaryType())], keep=["id", "y"]).collect(), key=lambda r: (r.id, r.words))
-    return fit([np.frombuffer(r.words, np.uint16).astype(np.int32) for r in got], np.array([r.y for r in got]))
+    return fit([np.frombuffer(r.words, np.int32) for r in got], np.array([r.y for r in got]), negatives=counts[0] / max(1, wanted[0]) * wanted[1] / counts[1])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", *, keep: list[str] | None = None) -> DataFrame:
