@@ -210,9 +210,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, epochs: int = 6, batch: in
         m.tables = None
         z, _ = m.logits([whole[k] for k in check])
         y = label[check]
-        loss = float(np.mean(np.logaddexp(0, np.where(y == 1, -z, z)) * weight[check]))
-        if best is None or loss < best[0]:
-            best = (loss, [p.copy() for p in flat_params] + [m.out_bias])
+        ranked = float(np.mean(np.searchsorted(np.sort(z[y == 0]), z[y == 1]))) / max(1, (y == 0).sum())
+        if best is None or ranked >= best[0]:
+            best = (ranked, [p.copy() for p in flat_params] + [m.out_bias])
     m.embed, m.filters, m.bias, m.out, m.out_bias = best[1][0], best[1][1 : 1 + len(WIDTHS)], best[1][-3], best[1][-2], best[1][-1]
     m.tables = None
     z, lang = m.logits([whole[k] for k in check])
