@@ -12,7 +12,7 @@ Answers: in each list all sets are compared with one pivot, and linked sets beco
 one component are done: their other links follow. In the rest more pivots follow, 64 times as many in each round until
 every set has been one, but only pairs of different components are compared, and of those only where the distances to the
 first pivot leave it open (Jaccard distance is a metric: sets whose distances differ by more than the limit can't be
-linked). The number of compared pairs so stays near that of linked sets, even in groups of thousands of near copies.
+linked) and whose parities differ in no more bits than linked sets may differ in shingles. The number of compared pairs so stays near that of linked sets, even in groups of thousands of near copies.
 
 Two texts link when 100 * |intersection| >= 90 * |union| (``percent``). Sets hold 64-bit hashes of n-grams and are known by
 64-bit hashes of their own. Null or empty texts have no shingles and are linked with nothing, rows with equal ids are
@@ -119,11 +119,20 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> tuple[int, i
     return common, len(x) + len(y) - common
 
 
-SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+def parity(u: np.ndarray) -> list[int]:
+    """For each of 256 shares of the hashes, whether a set has an odd number there.
+
+    Two sets differ in as many shingles at least as their parities in bits.
+    """
+    odd = (np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8").tolist()
+
+
+SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
 
 
 def index(df: DataFrame, id_col: str, text: str, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and list keys of each row, as a written table."""
+    """doc_id, n_shingles, node (null for an empty set), list keys and parity of each row, as a written table."""
 
     def make():
         def fn(texts: pa.Array) -> list[pa.Array]:
@@ -132,7 +141,7 @@ def index(df: DataFrame, id_col: str, text: str, n: int = N, percent: int = PERC
             keys = [signatures(u, percent) for u in sets]
             offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            return [pa.array([len(u) for u in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            return [pa.array([len(u) for u in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([parity(u) for u in sets], pa.list_(pa.int64()))]
 
         return fn
 
@@ -246,6 +255,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int =
 
     pairs = lists.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     compared = _compare(pairs, held, percent)
+    parities = spill(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity")), "parities")
     wide = 1.0 - percent / 100 + 1e-9
     pivots = 1
     while True:
@@ -255,12 +265,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int =
         labelled = _label(lists, found)
         open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where(f"lo <> hi and many > {pivots}").select("key", "many")
         far = compared.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
-        rest = spill(labelled.join(open_, "key").join(far, ["node", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "open")
+        rest = spill(labelled.join(open_, "key").join(far, ["node", "pivot"], "left").join(parities, "node").withColumn("d", F.coalesce("d", F.lit(0.0))), "open")
         if rest.isEmpty():
             break
         pivots *= MORE
-        chosen = rest.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("many") < F.lit(pivots << 20)).select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("d").alias("bd"))
+        chosen = rest.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("many") < F.lit(pivots << 20)).select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("d").alias("bd"), F.col("parity").alias("bp"))
         near = (F.col("component") != F.col("bc")) & (F.abs(F.col("d") - F.col("bd")) <= wide) & (100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
+        differ = sum((F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("bp", F.lit(k)))) for k in range(1, 4)), F.bit_count(F.get("parity", F.lit(0)).bitwiseXOR(F.get("bp", F.lit(0)))))
+        near = near & (differ * (100 + percent) <= (F.col("n") + F.col("bn")) * (100 - percent))
         more = rest.join(chosen, "key").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         seen = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         compared = compared.unionByName(_compare(spill(more.join(seen, ["a", "b"], "left_anti"), "pairs"), held, percent))

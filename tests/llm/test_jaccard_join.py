@@ -60,6 +60,15 @@ def test_linked_sets_share_a_list(seed):
                 assert keys[a] & keys[b]
 
 
+def test_parity_bounds_the_difference():
+    sets = [j.shingles(t) for _, t in corpus(3, 4, 8)]
+    for a in sets:
+        for b in sets:
+            bits = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(j.parity(a), j.parity(b), strict=True))
+            c, t = j.linked(a, b)
+            assert bits <= t - c
+
+
 def test_sizes_have_their_classes():
     for s in range(1, 3000, 7):
         mine = {c for c, _ in j.classes(s)}
