@@ -1,9 +1,10 @@
 """Document fingerprints: a homomorphic multiset hash, in DataFrame functions only.
 
 A text is cut into paragraphs (at line breaks) and those at sentence ends. Each piece is hashed to a wide vector, and the
-vectors are summed: EQUAL lanes of 32 bits modulo 2**32, which decide equality, and LIKE lanes of 16 bits that count one
-random bit of each piece, packed four to a word and summed modulo 2**62, from which a likeness follows. The sum doesn't
-depend on the order of pieces, and pieces can be added or taken away (``insert`` and ``remove``).
+vectors are summed: EQUAL lanes of 32 bits modulo 2**32, which decide equality, and LIKE lanes of 31 bits that count one
+random bit of each piece, packed two to a word and summed modulo 2**62, from which a likeness follows. A lane is exact below
+2**31 pieces, more than one text can have. The sum doesn't depend on the order of pieces, and pieces can be added or taken
+away (``insert`` and ``remove``).
 
 Null text counts as empty: the fingerprint of no pieces. Empty pieces don't count. Rows with equal ids are ordered by text
 where an order is asked for, null ids come last.
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from binframe.llm._util import table
 
-SEEDS, WORDS = 4, 32
-EQUAL, LIKE = 2 * SEEDS, 4 * WORDS
+SEEDS, WORDS = 4, 64
+EQUAL, LIKE = 2 * SEEDS, 2 * WORDS
 _LOW32, _CAP = (1 << 32) - 1, (1 << 62) - 1
-_SPREAD, _BITS = 1 + (1 << 15) + (1 << 30) + (1 << 45), 1 + (1 << 16) + (1 << 32) + (1 << 48)
+_LANE = (1 << 31) - 1
+_SPREAD, _BITS = 1 + (1 << 30), 1 + (1 << 31)
 #: Java pattern between pieces.
 SPLIT = r"\n+|(?<=[.!?]) +"
 
@@ -40,8 +42,8 @@ def _hashes(parts: Column, seed: int) -> Column:
 
 
 def _spread(shift: int):
-    """Four bits of a hash, each in a lane of its own."""
-    return lambda x: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(15)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_BITS))
+    """Two bits of a hash, each in a lane of its own."""
+    return lambda x: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(3)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_BITS))
 
 
 def vector(parts: Column) -> Column:
@@ -53,10 +55,10 @@ def vector(parts: Column) -> Column:
         for k in range(SEEDS):
             out += [total(F.get(h, k), lambda x: x.bitwiseAND(F.lit(_LOW32)), _LOW32), total(F.get(h, k), lambda x: F.shiftrightunsigned(x, 32), _LOW32)]
         for w in range(WORDS):
-            out.append(total(F.get(h, SEEDS + w // 16), _spread(4 * (w % 16)), _CAP))
+            out.append(total(F.get(h, SEEDS + w // 32), _spread(2 * (w % 32)), _CAP))
         return F.array(*out)
 
-    hashed = lambda ps: F.array(*[_hashes(ps, k) for k in range(SEEDS + WORDS // 16)])
+    hashed = lambda ps: F.array(*[_hashes(ps, k) for k in range(SEEDS + WORDS // 32)])
     return _let(parts, lambda ps: _let(hashed(ps), lanes))
 
 
@@ -84,7 +86,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     Its expected value is that of the multisets of pieces; its standard error about 1 / sqrt(LIKE).
     """
-    lanes = lambda v: F.flatten(F.transform(F.slice(v, 2 + EQUAL, WORDS), lambda w: F.array(*[F.shiftrightunsigned(w, s).bitwiseAND(F.lit(0xFFFF)) for s in (0, 16, 32, 48)])))
+    lanes = lambda v: F.flatten(F.transform(F.slice(v, 2 + EQUAL, WORDS), lambda w: F.array(*[F.shiftrightunsigned(w, s).bitwiseAND(F.lit(_LANE)) for s in (0, 31)])))
     centre = lambda v: F.transform(lanes(v), lambda x: (2 * x - F.get(v, 0)).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     cosine = lambda xy: dot(F.get(xy, 0), F.get(xy, 1)) / F.nullif(F.sqrt(dot(F.get(xy, 0), F.get(xy, 0))) * F.sqrt(dot(F.get(xy, 1), F.get(xy, 1))), F.lit(0.0))

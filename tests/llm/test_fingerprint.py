@@ -56,3 +56,18 @@ def test_likeness_follows_the_overlap(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("a", "old")], "text string, fingerprint string")
     assert fp.fingerprint(df).first().fingerprint != "old"
+
+
+def test_lanes_of_long_texts_do_not_wrap(spark):
+    n = 75_000
+    own, other = [[f"{c}{k}" for k in range(n)] for c in "ab"]
+    texts = {"own": own, "edit": own[: n - n // 10] + other[: n // 10], "other": other, "same": ["x"] * n, "more": ["x"] * n + own[: n // 10], "far": ["y"] * n}
+    df = spark.createDataFrame([tuple("\n".join(x) for x in texts.values())], ", ".join(f"{k} string" for k in texts))
+    vecs = df.select(*[fp.vector(fp.pieces(F.col(k))).alias(k) for k in texts]).localCheckpoint()
+    r = vecs.first()
+    for k in texts:  # a lane counts pieces
+        lanes = [w >> s & (1 << 31) - 1 for w in r[k][1 + fp.EQUAL :] for s in (0, 31)]
+        assert len(lanes) == 128 and r[k][0] == len(texts[k]) and max(lanes) <= r[k][0]
+        assert set(lanes) == {0, n} if k in ("same", "far") else k == "more" or all(abs(2 * x - n) < 0.05 * n for x in lanes)
+    near = vecs.select(*[fp.likeness(F.col(a), F.col(b)).alias(a + b) for a, b in (("own", "edit"), ("own", "other"), ("same", "more"), ("same", "far"))]).first()
+    assert near.ownedit > 0.7 and near.ownother < 0.4 and near.samemore > 0.9 and near.samefar < 0.4
