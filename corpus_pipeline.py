@@ -15,6 +15,8 @@ from binframe.llm._util import spill, table
 
 #: A document goes when its language can't be told, or is told with less certainty than this.
 LEAST_SCORE = 0.2
+#: Near duplicates share this percentage of their shingles of so many words; op8's setting is its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of linked ones, the one with the smallest id."""
-    groups = jaccard_join.join(docs).select("doc_id", "component_id").where("doc_id is null or doc_id <> component_id").distinct()
+    groups = jaccard_join.join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).select("doc_id", "component_id").where("doc_id is null or doc_id <> component_id").distinct()
     gone = groups.where("component_id is not null")
     kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     # Copies under one id: one stays. Ids are unique in a sound table, so that this deals rows evenly.

@@ -26,6 +26,31 @@ def test_one_of_each_group_stays(spark, docs, small):
     assert got == {low for _, _, low in groups([(r.doc_id, r.text) for r in docs.collect()])}
 
 
+def near_groups(docs, n=5, percent=80):
+    """Smallest linked id of each (id, text), by comparing all pairs of n-word shingle sets."""
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if (w := t.lower().split()) else set() for _, t in docs]
+    low = [i for i, _ in docs]
+    links = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[:a]) if x and y and 100 * len(x & y) >= percent * len(x | y)]
+    for _ in docs:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return dict(zip([i for i, _ in docs], low, strict=True))
+
+
+def test_near_duplicates_by_five_words(spark, docs, small):
+    all_docs = [(r.doc_id, r.text) for r in docs.collect()]
+    assert set(rows(c.near_duplicates(spark, docs, small))) == set(near_groups(all_docs).values())
+    texts = [[f"w{k}x{base}" for k in range(size)] for base, size in enumerate((50, 49, 48, 55, 300))]
+    edited = []
+    for words in texts:
+        for spots in ((), (25,), (10,), (20, 40), (15, 30, 45)):
+            edited.append((len(edited), " ".join("changed" if k in spots else w for k, w in enumerate(words))))
+    low = near_groups(edited)
+    assert low[1] == 0 and near_groups(edited, 3, 90)[1] == 1  # linked by five words alone
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in edited], "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(rows(c.near_duplicates(spark, df, small))) == set(low.values())
+
+
 def test_contaminated_documents_go(spark, docs, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     got = set(rows(c.benchmark(spark, docs, small)))
