@@ -83,12 +83,14 @@ def fold(id_col: str, of: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session has none (tests, one machine)."""
+    """The folder that driver and executors share; set only where the session has none and all runs on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         import tempfile
 
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm.isDefined() and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = jvm.get() if jvm.isDefined() else f"file://{tempfile.gettempdir()}/binframe-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -102,4 +104,15 @@ def spill(df: DataFrame, label: str, *, partition_by: list[str] | None = None) -
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.spilled_to = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table of a frame that ``spill`` returned, once nothing reads it any more; other frames are left alone."""
+    path = getattr(df, "spilled_to", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

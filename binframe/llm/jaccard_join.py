@@ -5,18 +5,22 @@ over its original's answers whole.
 
 Index: sets whose sizes can match differ in at most H shingles, so when the hash range is cut by position into more than H
 blocks, two linked sets have a block in common. Lists are kept for (size class, block, content of the block); a probe skips
-every list but those, hence all entries that share just some frequent shingle. Classes, H and blocks follow from sizes
-alone: no statistics of the corpus are gathered, and nothing is capped.
-
-Answers: in each list all sets are compared with one pivot, and linked sets become one component. Lists that then lie within
-one component are done: their other links follow. In the rest more pivots follow, 64 times as many in each round until
-every set has been one, but only pairs of different components are compared, and of those only where the distances to the
-first pivot leave it open (Jaccard distance is a metric: sets whose distances differ by more than the limit can't be
-linked) and whose parities differ in no more bits than linked sets may differ in shingles. The number of compared pairs so stays near that of linked sets, even in groups of thousands of near copies.
+every list but those, hence all entries that share just some frequent shingle. Empty blocks get no list, as unrelated sets
+would meet there: a set with more than H blocks that aren't empty shares one of those with each of its partners. One that
+has fewer is cut anew in another order of the hashes, where it meets the partners that had fewer too. Classes, H and blocks
+follow from sizes alone: no statistics of the corpus are gathered, and nothing is capped.
+
+Answers: in each list all sets that sizes and parities don't rule out are compared with one pivot. Jaccard distance is a metric, so the pivot's answers tell much of
+the others': sets whose distances to it add up to no more than the limit are linked, and those whose distances differ by
+more are not. ``join`` needs components only: lists that lie within one component are done, and of the rest only pairs of
+different components are compared. ``links`` gives every linked pair of different sets. Both take more pivots in each round,
+64 times as many until every set has been one, and compare two sets only if their parities differ in no more bits than
+linked sets may differ in shingles.
 
 Two texts link when 100 * |intersection| >= 90 * |union| (``percent``). Sets hold 64-bit hashes of n-grams and are known by
 64-bit hashes of their own. Null or empty texts have no shingles and are linked with nothing, rows with equal ids are
-separate texts with one id, and a null id stays null where nothing smaller is reachable.
+separate texts with one id; rows with a null id take part like others, and their component is null only where no row with
+an id is reachable. Texts are fetched by a hash of id and text, so that neither null nor repeated ids lose a link.
 """
 
 from __future__ import annotations
@@ -27,21 +31,27 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binframe.llm._util import map_text, spill, table
+from binframe.llm._util import drop, map_text, spill, table
 
 N, PERCENT = 3, 90
-#: Blocks beyond H + 1: a set with so many empty blocks at most needs no list for them.
-SPARE = 2
+#: Orders in which a set is cut until it has blocks enough; in the last one its empty blocks get lists as well.
+ORDERS = 4
+#: Blocks are so many that a set has too few that aren't empty only if it lies so many standard deviations below the mean.
+DEVIATIONS = 2.5
+#: Parities of a set: so many at least and at most, four times as many until there is one for each shingle.
+SHARES = (256, 16384)
 #: Size classes grow by this ratio.
 RATIO = 1.5
 #: More pivots in each round.
 MORE = 64
 #: Comparisons of one pivot that go to one task.
 PAIRS = 1000
+#: Pairs of a list that one task looks at.
+LOOKS = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -81,35 +91,66 @@ def _edges(blocks: int) -> np.ndarray:
     return np.array([(k << 64) // blocks for k in range(1, blocks)], np.uint64)
 
 
-def classes(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Size classes (number, blocks) in which a set takes part: its own, and above it where partners can be."""
+@lru_cache(4096)
+def blocks_of(low: int, need: int) -> int:
+    """Blocks for a class of sets of ``low`` shingles at least, so that ``need`` of them are hardly ever lacking."""
+
+    def enough(b: int) -> bool:
+        hit = 1 - 1 / b
+        mean = b * hit**low
+        spread = max(0.0, mean + b * (b - 1) * max(0.0, 1 - 2 / b) ** low - mean * mean) ** 0.5
+        return b - mean - DEVIATIONS * spread >= need
+
+    below, b = need, need + 1
+    while not enough(b) and b < 4 * low + 8:
+        below, b = b, b + max(1, b // 4)
+    while b - below > 1:
+        mid = (below + b) // 2
+        below, b = (below, mid) if enough(mid) else (mid, b)
+    return b
+
+
+def classes(size: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """Size classes (number, H + 1, blocks) in which a set takes part: its own, and above it where partners can be."""
     out, low, number = [], 1, 0
     while low * percent <= size * 100:
         high = max(low, int(low * RATIO))
         if size <= high:
             # |x ^ y| <= (|x| + |y|) (100 - p) / (100 + p), both sizes at most ``high``
-            out.append((number, 2 * high * (100 - percent) // (100 + percent) + 1))
+            need = 2 * high * (100 - percent) // (100 + percent) + 1
+            out.append((number, need, blocks_of(low, need)))
         low, number = high + 1, number + 1
     return out
 
 
 @lru_cache(100_000)
-def _classes(size: int, percent: int) -> list[tuple[int, int]]:
+def _classes(size: int, percent: int) -> list[tuple[int, int, int]]:
     return classes(size, percent)
 
 
 def signatures(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """List keys of a set."""
-    keys = []
-    total = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(u ^ _M1), dtype=np.uint64)]
-    for number, need in _classes(len(u), percent):
+    """List keys of a set.
+
+    Of two linked sets at most H blocks differ. If one of them has more than H blocks that aren't empty, one of these is the
+    other's as well; if neither has, both go on to the next order.
+    """
+    keys: list[np.ndarray] = []
+    orders: list[tuple[np.ndarray, np.ndarray]] = []
+    for number, need, blocks in _classes(len(u), percent):
         if need == 1:
             continue  # only equal sets can match
-        blocks = need + SPARE
-        cut = np.r_[0, np.searchsorted(u, _edges(blocks)), len(u)]
-        keys_here = mix((total[cut[1:]] - total[cut[:-1]]) * _M1 + np.arange(blocks, dtype=np.uint64) * _M2 + np.uint64(number))
-        full = cut[1:] > cut[:-1]
-        keys.append(keys_here[full] if (~full).sum() <= SPARE else keys_here)
+        for order in range(ORDERS):
+            if order == len(orders):
+                v = np.sort(mix(u * _M1 + np.uint64(order))) if order else u
+                orders.append((v, np.r_[np.zeros(1, np.uint64), np.cumsum(mix(v ^ _M1), dtype=np.uint64)]))
+            v, total = orders[order]
+            cut = np.r_[0, np.searchsorted(v, _edges(blocks)), len(v)]
+            here = mix((total[cut[1:]] - total[cut[:-1]]) * _M1 + np.arange(blocks, dtype=np.uint64) * _M2 + np.uint64(number * ORDERS + order))
+            full = cut[1:] > cut[:-1]
+            enough = int(full.sum()) >= need
+            keys.append(here[full] if enough or order < ORDERS - 1 else here)
+            if enough:
+                break
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -120,33 +161,63 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> tuple[int, i
 
 
 def parity(u: np.ndarray) -> list[int]:
-    """For each of 256 shares of the hashes, whether a set has an odd number there.
+    """For each of some shares of the hashes, whether a set has an odd number there; the larger the set, the more shares.
 
     Two sets differ in as many shingles at least as their parities in bits.
     """
-    odd = (np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    shares = SHARES[0]
+    while shares < SHARES[1] and len(u) > shares:
+        shares *= 4
+    odd = (np.bincount((u & np.uint64(shares - 1)).astype(np.int64), minlength=shares) & 1).astype(np.uint8)
     return np.packbits(odd).view("<i8").tolist()
 
 
+def folded(p: str, words: str) -> str:
+    """A parity in so many words: shares whose numbers are equal modulo the words' bits become one."""
+    return f"if(size({p}) = {words}, {p}, transform(sequence(0, {words} - 1), k -> aggregate(filter({p}, (x, i) -> i % {words} = k), 0L, (s, x) -> s ^ x)))"
+
+
+def may_link(n: str, p: str, m: str, q: str, percent: int) -> Column:
+    """Whether sizes n, m and parities p, q leave a link open. Parities of different lengths are folded to the shorter."""
+    words = f"least(size({p}), size({q}))"
+    bits = f"aggregate(zip_with({folded(p, words)}, {folded(q, words)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and ({bits}) * {100 + percent} <= ({n} + {m}) * {100 - percent}")
+
+
 SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
 
 
+def _rows(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc_id, text and row: a hash of both, which is the same whenever the row is read."""
+    frame = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return frame.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def index(df: DataFrame, id_col: str, text: str, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), list keys and parity of each row, as a written table."""
+    """doc_id, row, n_shingles, node (null for an empty set), list keys and parity of each row, as a written table.
+
+    A task gives the keys of equal sets once.
+    """
 
     def make():
+        given: set[int] = set()
+
         def fn(texts: pa.Array) -> list[pa.Array]:
             sets = [shingles(t, n) for t in texts.to_pylist()]
             nodes = [xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63) if len(u) else None for u in sets]
-            keys = [signatures(u, percent) for u in sets]
+            keys = []
+            for u, node in zip(sets, nodes, strict=True):
+                keys.append(signatures(u, percent) if node not in given else np.zeros(0, np.uint64))
+                given.add(node)
+            if len(given) > 1 << 20:
+                given.clear()
             offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             return [pa.array([len(u) for u in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([parity(u) for u in sets], pa.list_(pa.int64()))]
 
         return fn
 
-    frame = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return spill(map_text(frame, make, SETS, keep=["doc_id"], limit=2 << 20), "sets")
+    return spill(map_text(_rows(df, id_col, text), make, SETS, keep=["doc_id", "row"], limit=2 << 20), "sets")
 
 
 def _lists(sets: DataFrame) -> DataFrame:
@@ -211,11 +282,12 @@ def _compare(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return spill(joined.mapInArrow(run, "a long, b long, common long, total long"), "compared")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """node, component (the smallest node reachable) of the nodes of edges (a, b), by alternating large and small stars.
 
     Every node hooks its neighbours to its smallest one until each is joined to the smallest of its component alone; edges are
-    only ever replaced, so that no step makes more than two for each. The answer is written after each step.
+    only ever replaced, so that no step makes more than two for each. The answer is written after each step, and steps go on
+    until one changes nothing (about the logarithm of the longest chain); should ``most`` steps not do, this raises.
     """
     edges = spill(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     digest = None
@@ -225,10 +297,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = spill(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, spill(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         before, digest = digest, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        drop(old)
         if before == digest or not digest[0]:
             break
+    else:
+        raise RuntimeError(f"components are still changing after {most} steps")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -236,9 +311,8 @@ def _label(frame: DataFrame, found: DataFrame) -> DataFrame:
     return frame.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) and class_id (of equal sets), one row for each row."""
-    frame = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Sets of all rows, and links (a, b) of nodes: all of them, or as many as components need."""
     sets = index(df, id_col, text, n, percent)
     lists = _lists(sets)
     nodes = lists.select("node").distinct()
@@ -246,41 +320,92 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int =
     def make():
         return lambda texts: [pa.array([shingles(t, n).tobytes() for t in texts.to_pylist()], pa.binary())]
 
-    first = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = frame.join(first.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
-    packed = map_text(texts, make, [T.StructField("packed", T.BinaryType())], keep=["doc_id"])
-    # Rows that share an id may hold other texts: a set belongs to the node with its hash.
+    # One row stands for each node; rows that share an id and a text are one.
+    first = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+    first = spill(first, "first")
+    packed = map_text(_rows(df, id_col, text).join(first.select("row"), "row", "left_semi"), make, [T.StructField("packed", T.BinaryType())], keep=["doc_id"])
     hashed = packed.mapInArrow(_rehash, "node long, packed binary")
     held = spill(hashed.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "held")
+    parities = first.select("node", F.expr(folded("parity", str(SHARES[0] // 64))).alias("parity"))
+
+    ends = [first.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab"]
+
+    def open_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.join(ends[0], "a").join(ends[1], "b").where(may_link("na", "pa", "nb", "pb", percent)).select("a", "b")
 
-    pairs = lists.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    compared = _compare(pairs, held, percent)
-    parities = spill(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity")), "parities")
+    compared = [_compare(spill(open_pairs(lists.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), "pairs"), held, percent)]
+    far = compared[0].select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
     wide = 1.0 - percent / 100 + 1e-9
+    # Distances are sums of few rounded numbers; those that come out just at the limit are compared.
+    sure = 1.0 - percent / 100 - 1e-9
+    derived: list[DataFrame] = []
+
+    def linked_pairs() -> DataFrame:
+        out = [c.where(f"100 * common >= {percent} * total").select("a", "b") for c in compared] + derived
+        for x in out[1:]:
+            out[0] = out[0].union(x)
+        return out[0]
+
     pivots = 1
     while True:
-        links = compared.where(f"100 * common >= {percent} * total").select("a", "b")
-        found = components(links)
+        if every:
+            labelled = lists.withColumn("component", F.col("node"))
+        else:
+            found = components(linked_pairs())
+            labelled = _label(lists, found)
         # Lists with more than one component, and how far each of their sets is from the first pivot.
-        labelled = _label(lists, found)
         open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where(f"lo <> hi and many > {pivots}").select("key", "many")
-        far = compared.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
-        rest = spill(labelled.join(open_, "key").join(far, ["node", "pivot"], "left").join(parities, "node").withColumn("d", F.coalesce("d", F.lit(0.0))), "open")
+        rest = spill(labelled.join(open_, "key").join(far, ["node", "pivot"], "left").join(parities, "node").withColumn("d", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d"))), "open")
         if rest.isEmpty():
+            drop(rest)
             break
         pivots *= MORE
-        chosen = rest.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("many") < F.lit(pivots << 20)).select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("d").alias("bd"), F.col("parity").alias("bp"))
-        near = (F.col("component") != F.col("bc")) & (F.abs(F.col("d") - F.col("bd")) <= wide) & (100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
-        differ = sum((F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("bp", F.lit(k)))) for k in range(1, 4)), F.bit_count(F.get("parity", F.lit(0)).bitwiseXOR(F.get("bp", F.lit(0)))))
-        near = near & (differ * (100 + percent) <= (F.col("n") + F.col("bn")) * (100 - percent))
-        more = rest.join(chosen, "key").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        seen = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        compared = compared.unionByName(_compare(spill(more.join(seen, ["a", "b"], "left_anti"), "pairs"), held, percent))
+        # Lists are cut into shares of their sets, each of which meets all pivots of this round in a task of its own.
+        rest_ = rest.withColumn("salts", F.ceil(F.col("many") * F.least("many", F.lit(pivots)) / LOOKS)).withColumn("salt", F.pmod(F.xxhash64("node", "key"), "salts"))
+        chosen = rest_.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("many") < F.lit(pivots << 20)).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("d").alias("bd"), F.col("parity").alias("bp"))
+        # Without a distance to the pivot only sizes and parities tell.
+        near = (F.col("component") != F.col("bc")) & F.coalesce(F.abs(F.col("d") - F.col("bd")) <= wide, F.lit(True)) & may_link("n", "parity", "bn", "bp", percent)
+        more = rest_.join(chosen, ["key", "salt"]).where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.coalesce(F.col("d") + F.col("bd") <= sure, F.lit(False)).alias("sure"))
+        more = spill(more.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
+        seen = [c.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for c in compared]
+        new = more.where("not sure")
+        for x in seen:
+            new = new.join(x, ["a", "b"], "left_anti")
+        derived.append(more.where("sure").select("a", "b"))
+        compared.append(_compare(spill(open_pairs(new), "pairs"), held, percent))
+        drop(rest)
+    out = spill(linked_pairs().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    for x in (lists, held, first, *compared, *derived):
+        drop(x)
+    return sets, out
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row for each row: doc_id, row, n_shingles, component (null for an empty set), component_id (the smallest id reachable
+    by links) and class_id (the smallest id of equal sets)."""
+    sets, found = _search(df, id_col, text, n, percent, every=False)
+    labels = components(found)
     by_node = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    smallest = _label(by_node, found).select("component", "class_id").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    known = spill(_label(by_node, found).join(smallest, "component").select("node", "class_id", "component_id"), "components")
+    smallest = _label(by_node, labels).select("component", "class_id").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    known = spill(_label(by_node, labels).join(smallest, "component").select("node", "component", "class_id", "component_id"), "components")
+    drop(found)
     out = sets.join(known, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "row", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link, and the rows that have it.
+
+    Returns (pairs, members): pairs (a, b) of linked classes of different sets, a > b; members doc_id, n_shingles, class (null
+    for an empty set) and n_links, the number of other rows that the row is linked with, equal sets included.
+    """
+    sets, pairs = _search(df, id_col, text, n, percent, every=True)
+    size = sets.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"))
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = both.join(size.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("others"))
+    known = size.join(other, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = sets.join(known, "node", "left").select("doc_id", "n_shingles", F.col("node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return pairs, members
 
 
 def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,23 +60,103 @@ def test_linked_sets_share_a_list(seed):
                 assert keys[a] & keys[b]
 
 
+def fold(p, words):
+    return [int(np.bitwise_xor.reduce(np.array(p[k::words], np.int64))) for k in range(words)]
+
+
 def test_parity_bounds_the_difference():
-    sets = [j.shingles(t) for _, t in corpus(3, 4, 8)]
+    sets = [j.shingles(t) for _, t in corpus(3, 4, 8)] + [j.shingles(" ".join(f"v{k}" for k in range(n))) for n in (300, 1000, 1100, 5000)]
     for a in sets:
         for b in sets:
-            bits = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(j.parity(a), j.parity(b), strict=True))
+            p, q = j.parity(a), j.parity(b)
+            words = min(len(p), len(q))
+            bits = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(fold(p, words), fold(q, words), strict=True))
             c, t = j.linked(a, b)
             assert bits <= t - c
 
 
+def test_parities_are_folded_alike(spark):
+    p, q = j.parity(j.shingles(" ".join(f"v{k}" for k in range(6000)))), j.parity(j.shingles(" ".join(f"v{k}" for k in range(250))))
+    df = spark.createDataFrame([(6000, p, 250, q)], "n long, p array<long>, m long, q array<long>")
+    assert list(df.selectExpr(j.folded("p", "4")).first()[0]) == fold(p, 4)
+    assert [df.select(j.may_link(*x, 80)).first()[0] for x in (("n", "p", "n", "p"), ("n", "p", "m", "q"))] == [True, False]
+
+
 def test_sizes_have_their_classes():
-    for s in range(1, 3000, 7):
-        mine = {c for c, _ in j.classes(s)}
-        for t in {s, s + 1, s * 100 // 90}:
-            if s * 100 >= t * 90:
-                own = min(c for c, _ in j.classes(t))
-                need = dict(j.classes(t))[own]
-                assert own in mine and need > (s + t) // 19
+    for percent in (80, 90):
+        for s in range(1, 3000, 7):
+            mine = {c for c, _, _ in j.classes(s, percent)}
+            for t in {s, s + 1, s * 100 // percent}:
+                if s * 100 >= t * percent:
+                    own = min(c for c, _, _ in j.classes(t, percent))
+                    need = {c: n for c, n, _ in j.classes(t, percent)}[own]
+                    assert own in mine and need > (s + t) * (100 - percent) // (100 + percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_with_empty_blocks_meet(percent):
+    """Linked sets of every small size share a list, whatever blocks are empty."""
+    r = np.random.default_rng(percent)
+    for size in list(range(2, 60)) * 40:
+        x = r.integers(0, 1 << 63, size, dtype=np.uint64)
+        y = x.copy()
+        y[: r.integers(0, max(1, size * (100 - percent) // (100 + percent)) + 1)] = r.integers(0, 1 << 63)
+        x, y = np.unique(x), np.unique(y)
+        c, t = j.linked(x, y)
+        if 100 * c >= percent * t and not np.array_equal(x, y):
+            assert set(j.signatures(x, percent).tolist()) & set(j.signatures(y, percent).tolist())
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize("size", [50, 500, 5000, 20000])
+def test_unlinked_sets_share_no_list(n, percent, size):
+    r = np.random.default_rng(size)
+    seen = [k for _ in range(30) for k in set(j.signatures(np.unique(r.integers(0, 1 << 63, size + r.integers(0, size // 10), dtype=np.uint64)), percent).tolist())]
+    assert len(seen) == len(set(seen))
+
+
+def test_null_ids_keep_their_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [(5, 60), (None, 58), (9, 56), (12, 54), (None, 20), (30, 3), (None, 0)]
+    df = spark.createDataFrame([(i, " ".join(words[:k])) for i, k in texts], "doc_id long, text string")
+    got = {r.n_shingles: (r.doc_id, r.component_id) for r in j.join(df).collect()}
+    assert got == {58: (5, 5), 56: (None, 5), 54: (9, 5), 52: (12, 5), 18: (None, None), 1: (30, 30), 0: (None, None)}
+
+
+def test_long_texts(spark):
+    docs = []
+    for base, size in enumerate((5000, 9000, 20000)):
+        words = [f"{base}w{k}" for k in range(size)]
+        for copy in range(5):
+            for _ in range(copy * size // 150):
+                words[(copy * 7919 + _ * 104729) % size] = f"{base}x{copy}y{_}"
+            docs.append((len(docs), " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, j.join(df).select("doc_id", "n_shingles", "component_id").collect())) == brute(docs)
+
+
+@pytest.mark.parametrize("most", [1, 50])
+def test_all_links(spark, most, monkeypatch):
+    monkeypatch.setattr(j, "MORE", 1 + most)
+    monkeypatch.setattr(j, "LOOKS", 100)
+    docs = corpus(7)
+    docs += [(1000 + k, t) for k, (_, t) in enumerate(docs[:15])]
+    sets = {i: shingles(t) for i, t in docs}
+    expected = {i: sum(1 for k, y in sets.items() if k != i and x and y and 100 * len(x & y) >= 90 * len(x | y)) for i, x in sets.items()}
+    pairs, members = j.links(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = members.collect()
+    assert {r.doc_id: r.n_links for r in found} == expected
+    texts = {r["class"]: frozenset(sets[r.doc_id]) for r in found}
+    want = {frozenset((x, y)) for x in set(texts.values()) for y in set(texts.values()) if x and y and x != y and 100 * len(x & y) >= 90 * len(x | y)}
+    got = [frozenset((texts[r.a], texts[r.b])) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_components_that_go_on_changing_raise(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    assert {r.component for r in j.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        j.components(edges, most=2)
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -3,7 +3,6 @@ import corpus_pipeline as c
 import pytest
 
 from tests.llm.test_decontaminate import brute as contaminated
-from tests.llm.test_jaccard_join import brute as groups
 
 
 @pytest.fixture(scope="module")
@@ -21,11 +20,6 @@ def test_language_keeps_clean_documents(spark, docs, small):
     assert c.language(spark, docs.limit(0), small).columns == docs.columns
 
 
-def test_one_of_each_group_stays(spark, docs, small):
-    got = set(rows(c.near_duplicates(spark, docs, small)))
-    assert got == {low for _, _, low in groups([(r.doc_id, r.text) for r in docs.collect()])}
-
-
 def near_groups(docs, n=5, percent=80):
     """Smallest linked id of each (id, text), by comparing all pairs of n-word shingle sets."""
     sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if (w := t.lower().split()) else set() for _, t in docs]
@@ -51,6 +45,15 @@ def test_near_duplicates_by_five_words(spark, docs, small):
     assert set(rows(c.near_duplicates(spark, df, small))) == set(low.values())
 
 
+def test_another_text_under_a_removed_id_stays(spark, small):
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    near = a.replace("a40", "changed")
+    rows_ = [(1, a), (2, near), (2, b), (None, near), (None, "c d e f g h"), (7, ""), (7, ""), (1, a)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in c.near_duplicates(spark, df, small).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, "c d e f g h"), (7, "")], key=str)
+
+
 def test_contaminated_documents_go(spark, docs, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     got = set(rows(c.benchmark(spark, docs, small)))
