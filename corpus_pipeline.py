@@ -1,8 +1,8 @@
 """A corpus pipeline: language, near duplicates, benchmark passages, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; all but the last return the columns of
-documents. Null and empty texts have no language and go in the first stage. Rows that repeat an id stay or go together with
-their text's group: of each group of near duplicates the row with the smallest id (then source, language and text) stays.
+documents. Null and empty texts have no language and go in the first stage. Of each group of near duplicates the row with the
+smallest id stays (then by hash of the text, source, language and length; a null id comes last), whatever else has that id.
 """
 
 from __future__ import annotations
@@ -28,13 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked ones, the one with the smallest id."""
-    groups = jaccard_join.join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).select("doc_id", "component_id").where("doc_id is null or doc_id <> component_id").distinct()
-    gone = groups.where("component_id is not null")
-    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document of each group of linked ones: the one with the smallest id, among equal ids the smallest hash of the text.
+
+    Documents are told apart by id and text, so that another text under the id of one that goes stays.
+    """
+    joined = jaccard_join.join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    heads = joined.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head")).select("head.row")
+    rows = heads.union(joined.where("component is null").select("row")).distinct()
+    row = "__row"
+    kept = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(rows.withColumnRenamed("row", row), row, "left_semi")
     # Copies under one id: one stays. Ids are unique in a sound table, so that this deals rows evenly.
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    one = Window.partitionBy(row).orderBy("source", "lang", "n_chars")
+    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
