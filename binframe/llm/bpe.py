@@ -10,7 +10,6 @@ library has them by default. Repeated rows are encoded one by one.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import heapq
 import json
@@ -26,8 +25,10 @@ from pyspark.sql import types as T
 from binframe.llm._util import map_text, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words kept in a worker's cache; past it the cache starts anew (about 200 bytes a word).
-CACHE_WORDS = 500_000
+#: Pieces kept in a worker's cache; past it the cache starts anew (about 150 bytes a piece).
+CACHE_WORDS = 330_000
+#: Bytes of text that are cut into pieces at once.
+BATCH_BYTES = 3 << 20
 #: Symbols from which a pre-token is merged by heap.
 LONG = 256
 
@@ -157,11 +158,12 @@ class ByteBPE:
             self.token_bytes[i] = token.encode()
         self.findall = regex.compile(PATTERN).findall
         self.cache_words = cache_words
-        self.pre: dict[str, bytes] = {}  # pre-token: its ids as little-endian unsigned 32-bit integers
-        self.chunk: dict[str, bytes] = {}  # what stands between two spaces: likewise
+        #: What stands between two spaces: its ids as little-endian unsigned 32-bit integers.
+        self.chunk: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode pre-tokens that the cache doesn't have."""
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens."""
+        out: dict[str, bytes] = {}
         short, longer = [], []
         for w in words:
             b = w.encode("utf-8", "surrogatepass")
@@ -172,19 +174,14 @@ class ByteBPE:
             raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths) * 4
             start = 0
             for (w, _), end in zip(short, ends.tolist(), strict=True):
-                self.pre[w] = raw[start:end]
+                out[w] = raw[start:end]
                 start = end
         for w, b in longer:
-            self.pre[w] = np.array(self.merges.heap(self.byte_ids[np.frombuffer(b, np.uint8)].tolist()), "<u4").tobytes()
+            out[w] = np.array(self.merges.heap(self.byte_ids[np.frombuffer(b, np.uint8)].tolist()), "<u4").tobytes()
+        return out
 
     def _encode_words(self, lists: list[list[str]]) -> list[bytes]:
-        missing = set().union(*lists) - self.pre.keys()
-        if missing:
-            if len(self.pre) + len(missing) > self.cache_words:
-                self.pre.clear()
-                missing = set().union(*lists)
-            self._learn(missing)
-        get = self.pre.__getitem__
+        get = self._learn(set().union(*lists)).__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
     @staticmethod
@@ -200,6 +197,7 @@ class ByteBPE:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
         plain: list[int] = []
+        odd: list[int] = []
         for i, t in enumerate(texts):
             if not t:
                 continue
@@ -207,9 +205,12 @@ class ByteBPE:
                 parts = [p for p in self._specials.split(t) if p]
                 out[i] = b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self.encode([p])[0] for p in parts)
             elif t[0].isspace() or _ODD.search(t):
-                out[i] = self._encode_words([self.findall(t)])[0]
+                odd.append(i)
             else:
                 plain.append(i)
+        if odd:
+            for i, x in zip(odd, self._encode_words([self.findall(texts[i]) for i in odd]), strict=True):
+                out[i] = x
         if plain:
             cut = [self.pieces(texts[i]) for i in plain]
             missing = set().union(*cut) - self.chunk.keys()
@@ -263,7 +264,7 @@ def encode(df: DataFrame, text: str = "text", *, path: str | None = None, output
 
         return fn
 
-    return map_text(df, make, [T.StructField(output, T.ArrayType(T.IntegerType()))], text, keep)
+    return map_text(df, make, [T.StructField(output, T.ArrayType(T.IntegerType()))], text, keep, limit=BATCH_BYTES)
 
 
 def decode(df: DataFrame, ids: str = "ids", *, path: str | None = None, output: str = "text") -> DataFrame:
@@ -302,14 +303,9 @@ def round_trip(df: DataFrame, text: str = "text", *, path: str | None = None, ke
 
         return fn
 
-    return map_text(df, make, ROUND_TRIP, text, keep)
+    return map_text(df, make, ROUND_TRIP, text, keep, limit=BATCH_BYTES)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text decoded from them."""
     return round_trip(table(spark, sf_dir, "documents"), keep=["doc_id"])
-
-
-def read_ranks(path: str) -> dict[bytes, int]:
-    """A file of base64 tokens and ranks."""
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from binframe.llm._util import map_text, table
-from binframe.llm.bpe import _ODD, CACHE_WORDS, ByteBPE, default_path, encoder
+from binframe.llm.bpe import _ODD, BATCH_BYTES, CACHE_WORDS, ByteBPE, default_path, encoder
 
 #: Entries of tier one at most, shortest ids (the most frequent merges) first: under 4 MB broadcast.
 TABLE_WORDS = 50_000
@@ -105,7 +105,7 @@ def count_tokens(df: DataFrame, text: str = "text", *, path: str | None = None,
         return fn
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return map_text(df, make, fields, text, keep)
+    return map_text(df, make, fields, text, keep, limit=BATCH_BYTES)
 
 
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
