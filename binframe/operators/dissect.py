@@ -1,19 +1,43 @@
-"""Protocol dissection of captured packets with column expressions; only names of variable layout go through Arrow.
+"""Tables of captured packets: every file is framed and dissected in one pass, rows of all layers stand side by side.
 
-Every stage is a projection of the one before: a layer's bytes and their start are columns, a guard picks the next parser, and
-what a parser can't take goes to ``errors``. Rows carry the key of their packet and the range of the bytes that were parsed.
+A row is a frame: an interface, an issue, or a packet with the columns of all layers that its bytes hold. A layer that can't be
+parsed names itself in ``bad``; what lies beneath it is null, what lies above stays. Keys are given while the file is read, so that
+neither tables nor keys need a pass of their own: each table is a selection of columns and rows.
 """
 
 from __future__ import annotations
 
-import ipaddress
 import struct
+from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from binframe.operators import layers as L
+from binframe.operators.layers import FLAGS, PORT_DNS, PORT_TLS, dns_message  # noqa: F401
+from binframe.sources.framing import COMMON, Memory, frames_of
+from binframe.sources.pcap import FIELDS, MAGIC, MOST, read_capture
+
+#: Packets to an Arrow batch.
+BATCH = 32_768
+BASE = [f for f in COMMON + FIELDS if f.name not in ("body", "body_offset")]
+
+
+def _schema() -> tuple[T.StructType, pa.Schema]:
+    from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema
+
+    fields = BASE + [T.StructField(n, from_arrow_type(t)) for n, t in L.COLUMNS]
+    return T.StructType(fields), to_arrow_schema(T.StructType(fields))
+
+
+ROWS, ARROW = _schema()
+
 
 def uint(body: Column, offset: Column | int, size: int) -> Column:
     """Big-endian unsigned number of up to seven bytes; null past the end."""
@@ -22,69 +46,15 @@ def uint(body: Column, offset: Column | int, size: int) -> Column:
     return F.when(F.length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
 
 
-def rest(body: Column, offset: Column | int, length: Column | None = None) -> Column:
-    at = (F.lit(offset) if isinstance(offset, int) else offset) + 1
-    return F.substring(body, at.cast("int"), (length if length is not None else F.length(body)).cast("int"))
-
-
 def ip4_str(b: Column) -> Column:
     return F.when(F.length(b) == 4, F.concat_ws(".", *[uint(b, k, 1).cast("string") for k in range(4)]))
 
 
 @F.pandas_udf(T.StringType())
 def ip6_str(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: str(ipaddress.IPv6Address(bytes(x))) if x is not None and len(x) == 16 else None)
-
-
-def dns_message(b: bytes) -> dict | None:
-    """Head and first question of a message; None if any part of it can't be read."""
-    try:
-        tx, flags, qd, an, ns, ar = struct.unpack_from(">6H", b)
-        opcode = flags >> 11 & 15
-        out = {"tx_id": tx, "qr": flags >> 15, "query_name": None, "query_type": None, "qd_count": qd, "an_count": an, "ok": True}
-        if opcode not in (0, 1, 2):
-            return out | {"qd_count": 0, "an_count": 0}
-        at = 12
-
-        def name(at: int) -> tuple[str | None, int]:
-            parts: list[str] = []
-            while True:
-                n = b[at]
-                if n >= 192:
-                    b[at + 1]
-                    return (".".join(parts) if parts else None), at + 2
-                if n == 0:
-                    return ".".join(parts), at + 1
-                label = b[at + 1 : at + 1 + n]
-                if len(label) < n:
-                    raise IndexError
-                parts.append(label.decode("utf-8", "replace"))
-                at += 1 + n
-
-        for k in range(qd):
-            text, at = name(at)
-            kind, _ = struct.unpack_from(">HH", b, at)
-            at += 4
-            if k == 0:
-                out |= {"query_name": text, "query_type": kind}
-        for _ in range(an + ns + ar):
-            _, at = name(at)
-            size = struct.unpack_from(">H", b, at + 8)[0]
-            at += 10 + size
-            if at > len(b):
-                raise IndexError
-        return out
-    except (IndexError, struct.error):
-        return None
-
+    import ipaddress
 
-DNS = T.StructType([T.StructField("tx_id", T.IntegerType()), T.StructField("qr", T.ByteType()), T.StructField("query_name", T.StringType()), T.StructField("query_type", T.IntegerType()), T.StructField("qd_count", T.IntegerType()), T.StructField("an_count", T.IntegerType()), T.StructField("ok", T.BooleanType())])
-_NO_DNS = {f.name: None for f in DNS} | {"ok": False}
-
-
-@F.pandas_udf(DNS)
-def parse_dns(b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_NO_DNS if x is None else dns_message(bytes(x)) or _NO_DNS for x in b], columns=DNS.names).astype({"tx_id": "Int32", "qr": "Int8", "query_type": "Int32", "qd_count": "Int32", "an_count": "Int32", "ok": "boolean"})
+    return b.map(lambda x: str(ipaddress.IPv6Address(bytes(x))) if x is not None and len(x) == 16 else None)
 
 
 def client_hello(b: bytes) -> dict | None:
@@ -114,107 +84,184 @@ def client_hello(b: bytes) -> dict | None:
         return None
 
 
-def packets(frames: DataFrame) -> DataFrame:
-    """packet_id (1, 2, ... in each file) and the packets' columns."""
-    w = Window.partitionBy("_src_file").orderBy("ordinal")
-    return frames.where("kind = 'packet'").select(F.row_number().over(w).cast("long").alias("packet_id"), "ts_us", "ts_ns", "caplen", "len", "linktype", "interface_id", "comment", "body", "body_offset", "_src_start", "_src_end", "_src_file")
-
-
-#: Link types, protocol numbers of the network and transport layers.
-ETHERNET, SLL, SLL2, RAW4, RAW6 = 1, 113, 276, 228, 229
-IP4, IP6, VLAN = 0x0800, 0x86DD, 0x8100
-ICMP, TCP, UDP, ICMPV6 = 1, 6, 17, 58
-PORT_DNS, PORT_TLS = 53, 443
-
+def _batch(n: int, columns: dict[str, Any]) -> pa.RecordBatch:
+    arrays = []
+    for f in ARROW:
+        x = columns.get(f.name)
+        arrays.append(pa.nulls(n, f.type) if x is None else x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
+
+
+def _mixed(rows: list[dict[str, Any]], buf: np.ndarray, counts: dict[str, int]) -> pa.RecordBatch:
+    """Frames of any kind as rows; packets' bytes lie in ``buf`` at their places in the file."""
+    columns: dict[str, Any] = {f.name: pa.array([r.get(f.name) for r in rows], ARROW.field(f.name).type) for f in BASE}
+    which = np.array([r["kind"] == "packet" for r in rows], bool)
+    some = [r for r in rows if r["kind"] == "packet"]
+    if some:
+        start = np.array([r["_src_start"] + r["body_offset"] for r in some], np.int64)
+        found = L.layers(buf, start, start + np.array([len(r["body"]) for r in some]), np.array([r["linktype"] for r in some]), np.zeros(len(some), np.int64), counts)
+        at = pa.array(np.cumsum(which) - 1, mask=~which)
+        columns |= {k: x.take(at) for k, x in found.items()}
+    return _batch(len(rows), columns)
+
+
+def _classic(name: str, data: Any, buf: np.ndarray, order: str, scale: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a classic capture: record heads are walked one by one, all else is done for many records at once."""
+    linktype = struct.unpack_from(order + "I", data, 20)[0]
+    counts: dict[str, int] = {}
+    head = next(iter(read_capture(Memory(bytes(data[:24])))))
+    yield _mixed([{"_src_file": name, "ordinal": 0, **head}], buf, counts)
+    size, at, ordinal = len(data), 24, 1
+    length = struct.Struct(order + "I").unpack_from
+    from binframe.sources.framing import issue
+
+    issues: list[dict[str, Any]] = []
+    places: list[int] = []
+
+    def flush() -> pa.RecordBatch:
+        nonlocal ordinal
+        rec = np.array(places, np.int64)
+        n = len(rec)
+        sec, frac, incl, orig = np.ascontiguousarray(buf[rec[:, None] + np.arange(16)]).view(order + "u4").astype(np.int64).T
+        ns = sec * 1_000_000_000 + frac * scale
+        start = rec + 16
+        kind = np.full(n, linktype, np.int64)
+        if linktype == 101:  # raw IP names its version by the first half byte
+            first = np.where(incl > 0, buf[np.minimum(start, size - 1)] >> 4, 0)
+            kind = np.select([first == 4, first == 6], [L.RAW4, L.RAW6], linktype)
+        columns = L.layers(buf, start, start + incl, kind, np.zeros(n, np.int64), counts)
+        columns |= {"_src_file": pa.array([name] * n), "ordinal": np.arange(ordinal, ordinal + n), "kind": pa.array(["packet"] * n), "_src_start": rec, "_src_end": start + incl, "interface_id": np.ones(n, np.int64), "linktype": kind, "ts_us": ns // 1000, "ts_ns": ns, "caplen": incl, "len": orig}
+        ordinal += n
+        places.clear()
+        return _batch(n, columns)
+
+    while at < size:
+        incl = length(data, at + 8)[0] if at + 16 <= size else size
+        end = at + 16 + incl
+        if end > size:
+            issues.append(issue("TRUNCATED_RECORD", at, size))
+            break
+        if incl > MOST:
+            issues.append(issue("OVERSIZED_RECORD", at, end))
+        else:
+            places.append(at)
+            if len(places) >= BATCH:
+                yield flush()
+        at = end
+    if places:
+        yield flush()
+    if issues:
+        yield _mixed([{"_src_file": name, "ordinal": ordinal + k, **x} for k, x in enumerate(issues)], buf, counts)
+
+
+def decode_file(name: str, data: Any) -> Iterator[pa.RecordBatch]:
+    """Rows of one capture's bytes."""
+    buf = np.frombuffer(data, np.uint8)
+    known = MAGIC.get(int.from_bytes(bytes(data[:4]), "big")) if len(data) >= 24 else None
+    if known:
+        yield from _classic(name, data, buf, *known)
+        return
+    counts: dict[str, int] = {}
+    held: list[dict[str, Any]] = []
+    for row in frames_of(read_capture, Memory(bytes(data)), name):
+        held.append(row)
+        if len(held) >= BATCH:
+            yield _mixed(held, buf, counts)
+            held = []
+    if held:
+        yield _mixed(held, buf, counts)
+
+
+def decode(files: DataFrame) -> DataFrame:
+    """Rows of captures given as (name, content): framed and dissected in one pass, a file to a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if data.is_valid:
+                    yield from decode_file(name, memoryview(data.as_buffer()))
+
+    return files.select("name", "content").mapInArrow(run, ROWS)
+
+
+def dissect(frames: DataFrame) -> DataFrame:
+    """Rows of frames that were read before; frames of a file go to one task in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, counts = None, {}
+        for batch in batches:
+            for file in dict.fromkeys(batch.column("_src_file").to_pylist()):
+                part = batch.filter(pa.compute.equal(batch.column("_src_file"), file))
+                if file != name:
+                    name, counts = file, {}
+                columns: dict[str, Any] = {f.name: part.column(f.name) for f in BASE}
+                which = np.array([k == "packet" for k in part.column("kind").to_pylist()], bool)
+                some = part.filter(pa.array(which))
+                if some.num_rows:
+                    offset = some.column("_src_start").to_numpy(zero_copy_only=False) + some.column("body_offset").to_numpy(zero_copy_only=False)
+                    found = L.of_frames(some.column("body"), some.column("linktype").to_numpy(zero_copy_only=False), offset, counts)
+                    at = pa.array(np.cumsum(which) - 1, mask=~which)
+                    columns |= {k: x.take(at) for k, x in found.items()}
+                yield _batch(part.num_rows, columns)
+
+    return frames.repartition("_src_file").sortWithinPartitions("_src_file", "ordinal").mapInArrow(run, ROWS)
+
+
+def _parse(make: Any, names: list[str]) -> Any:
+    def run(b: pd.Series) -> pd.DataFrame:
+        none = dict.fromkeys(names) | {"ok": False}
+        return pd.DataFrame([none if x is None else make(bytes(x)) or none for x in b], columns=names)
+
+    return run
 
-def network(packets_: DataFrame) -> DataFrame:
-    """Bytes, start and version (4, 6 or null) of the layer above the link."""
-    b, link = F.col("body"), F.col("linktype")
-    tagged = uint(b, 12, 2) == VLAN
-    skip = F.when(link == ETHERNET, F.when(tagged, 18).otherwise(14)).when(link == SLL, 16).when(link == SLL2, 20).otherwise(0)
-    kind = F.when(link == ETHERNET, F.when(tagged, uint(b, 16, 2)).otherwise(uint(b, 12, 2))).when(link == SLL, uint(b, 14, 2)).when(link == SLL2, uint(b, 0, 2)).when(link == RAW4, IP4).when(link == RAW6, IP6)
-    known = packets_.withColumn("skip", skip.cast("int")).withColumn("ether_type", kind)
-    version = F.when(F.col("ether_type") == IP4, 4).when(F.col("ether_type") == IP6, 6)
-    return known.select("packet_id", "_src_file", "ts_us", version.cast("byte").alias("version"), rest(b, F.col("skip")).alias("l3"), (F.col("_src_start") + F.col("body_offset") + F.col("skip")).alias("l3_start"))
 
-
-def ip(net: DataFrame) -> DataFrame:
-    """IPv4 and IPv6 rows with their payload; ``bad`` where a declared size runs past the captured bytes."""
-    b, v4 = F.col("l3"), F.col("version") == 4
-    head = F.when(v4, uint(b, 0, 1).bitwiseAND(F.lit(15)) * 4).otherwise(40)
-    size = F.when(v4, uint(b, 2, 2)).otherwise(uint(b, 4, 2) + 40)
-    rows = net.where("version is not null").withColumn("head", head.cast("int")).withColumn("length", size)
-    bad = F.coalesce((F.col("head") < 20) | (F.col("length") < F.col("head")) | (F.col("length") > F.length("l3")), F.lit(True))
-    return rows.select(
-        "packet_id", "_src_file", "ts_us", "version", F.when(v4, ip4_str(rest(b, 12, F.lit(4)))).otherwise(ip6_str(F.when(~v4, rest(b, 8, F.lit(16))))).alias("src_addr"), F.when(v4, ip4_str(rest(b, 16, F.lit(4)))).otherwise(ip6_str(F.when(~v4, rest(b, 24, F.lit(16))))).alias("dst_addr"),
-        F.when(v4, uint(b, 9, 1)).otherwise(uint(b, 6, 1)).cast("short").alias("proto"), F.when(v4, uint(b, 8, 1)).otherwise(uint(b, 7, 1)).cast("short").alias("hop_limit"), "length",
-        rest(b, F.col("head"), F.col("length") - F.col("head")).alias("l4"), (F.col("l3_start") + F.col("head")).alias("l4_start"), bad.alias("bad"), F.col("l3_start").alias("_src_start"), (F.col("l3_start") + F.length("l3")).alias("_src_end"),
-    )
-
-
-FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
+DNS = T.StructType([T.StructField("tx_id", T.IntegerType()), T.StructField("qr", T.ByteType()), T.StructField("query_name", T.StringType()), T.StructField("query_type", T.IntegerType()), T.StructField("qd_count", T.IntegerType()), T.StructField("an_count", T.IntegerType()), T.StructField("ok", T.BooleanType())])
+TLS = T.StructType([T.StructField("tls_version", T.StringType()), T.StructField("sni", T.StringType()), T.StructField("ok", T.BooleanType())])
 
 
-def tcp(ips: DataFrame) -> DataFrame:
-    b = F.col("l4")
-    rows = ips.where(f"not bad and proto = {TCP}").withColumn("head", (F.shiftrightunsigned(uint(b, 12, 1), 4) * 4).cast("int"))
-    flags = uint(b, 13, 1)
-    return rows.select(
-        "packet_id", "_src_file", "ts_us", "src_addr", "dst_addr", uint(b, 0, 2).cast("int").alias("src_port"), uint(b, 2, 2).cast("int").alias("dst_port"), uint(b, 4, 4).alias("seq"), uint(b, 8, 4).alias("ack"),
-        F.concat_ws("|", *[F.when(flags.bitwiseAND(F.lit(1 << k)) > 0, n) for k, n in enumerate(FLAGS)]).alias("flags"), uint(b, 14, 2).cast("int").alias("window"), rest(b, F.col("head")).alias("payload"), (F.col("l4_start") + F.col("head")).alias("payload_start"),
-        F.coalesce((F.col("head") < 20) | (F.col("head") > F.length("l4")), F.lit(True)).alias("bad"), F.col("l4_start").alias("_src_start"), (F.col("l4_start") + F.length("l4")).alias("_src_end"),
-    )
+@F.pandas_udf(DNS)
+def parse_dns(b: pd.Series) -> pd.DataFrame:
+    return _parse(dns_message, DNS.names)(b).astype({"tx_id": "Int32", "qr": "Int8", "query_type": "Int32", "qd_count": "Int32", "an_count": "Int32", "ok": "boolean"})
 
 
-def udp(ips: DataFrame) -> DataFrame:
-    b, size = F.col("l4"), uint(F.col("l4"), 4, 2)
-    return ips.where(f"not bad and proto = {UDP}").select(
-        "packet_id", "_src_file", "ts_us", "src_addr", "dst_addr", uint(b, 0, 2).cast("int").alias("src_port"), uint(b, 2, 2).cast("int").alias("dst_port"), size.cast("int").alias("length"), rest(b, 8, size - 8).alias("payload"), (F.col("l4_start") + 8).alias("payload_start"),
-        F.coalesce((size < 8) | (size > F.length("l4")), F.lit(True)).alias("bad"), F.col("l4_start").alias("_src_start"), (F.col("l4_start") + F.length("l4")).alias("_src_end"),
-    )
+@F.pandas_udf(TLS)
+def parse_hello(b: pd.Series) -> pd.DataFrame:
+    return _parse(client_hello, TLS.names)(b).astype({"ok": "boolean"})
 
 
-def icmp(ips: DataFrame, v6: bool = False) -> DataFrame:
-    b, kinds = F.col("l4"), (128, 129) if v6 else (0, 8)
-    echo = uint(b, 0, 1).isin(*kinds)
-    return ips.where(f"not bad and proto = {ICMPV6 if v6 else ICMP}").select(
-        "packet_id", "_src_file", uint(b, 0, 1).cast("short").alias("type"), uint(b, 1, 1).cast("short").alias("code"), F.when(echo, uint(b, 4, 2)).cast("int").alias("echo_id"), F.when(echo, uint(b, 6, 2)).cast("int").alias("echo_seq"),
-        F.coalesce(F.length("l4") < F.when(echo, 8).otherwise(4), F.lit(True)).alias("bad"), F.col("l4_start").alias("_src_start"), (F.col("l4_start") + F.length("l4")).alias("_src_end"),
-    )
+def _where(start: str, end: str) -> list[Column]:
+    return [F.col(start).alias("_src_start"), F.col(end).alias("_src_end"), F.col("_src_file")]
 
 
-def dns(udps: DataFrame) -> DataFrame:
-    rows = udps.where(f"not bad and (src_port = {PORT_DNS} or dst_port = {PORT_DNS})").withColumn("m", parse_dns("payload"))
-    return rows.select("packet_id", "_src_file", "ts_us", *[F.col(f"m.{c}").alias(c) for c in DNS.names if c != "ok"], (~F.coalesce("m.ok", F.lit(False))).alias("bad"), F.col("payload_start").alias("_src_start"), (F.col("payload_start") + F.length("payload")).alias("_src_end"))
+def segments(rows: DataFrame) -> DataFrame:
+    """TCP segments with their payload, for reassembly."""
+    return rows.where("tcp_id is not null").select("tcp_id", "packet_id", "ts_us", "src_addr", "dst_addr", "src_port", "dst_port", "seq", "ack", "flags", "window", "payload", "payload_start", *_where("l4_start", "l4_end"))
 
 
-def keyed(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """Good rows with a dense key from 1 in each file."""
-    w = Window.partitionBy("_src_file").orderBy(*(order or ("packet_id",)))
-    good = rows.where("not bad").drop("bad") if "bad" in rows.columns else rows
-    return good.select(F.row_number().over(w).cast("long").alias(key), *[c for c in good.columns if c not in ("l3", "l4", "l4_start", "payload", "payload_start")])
+def errors(rows: DataFrame) -> DataFrame:
+    """error_id, stage, record, code, message, recoverable and range: what framing reported, then what layers couldn't parse."""
+    framing = rows.where("kind in ('issue', 'fatal')").select("_src_file", F.lit(0).alias("rank"), F.col("ordinal").alias("at"), "stage", F.lit(None).cast("int").alias("record"), "code", "message", "recoverable", "_src_start", "_src_end")
+    layers_ = rows.where("bad is not null").select("_src_file", F.lit(1).alias("rank"), F.col("packet_id").alias("at"), F.lit("dissecting").alias("stage"), F.col("packet_id").cast("int").alias("record"), F.lit("DISSECT_PARSE_FAILED").alias("code"), F.concat("bad", F.lit(": a size runs past the captured bytes")).alias("message"), F.lit(True).alias("recoverable"), F.col("bad_start").alias("_src_start"), F.col("bad_end").alias("_src_end"))
+    w = Window.partitionBy("_src_file").orderBy("rank", "at")
+    return framing.unionByName(layers_).select(F.row_number().over(w).cast("long").alias("error_id"), "stage", "record", "code", "message", "recoverable", "_src_start", "_src_end", "_src_file")
 
 
-def errors(frames: DataFrame, layers: list[DataFrame]) -> DataFrame:
-    """error_id, stage, record, code, message, recoverable and range: what framing reported, then what layers couldn't parse."""
-    framing = frames.where("kind in ('issue', 'fatal')").select("_src_file", F.lit(0).alias("rank"), F.col("ordinal").alias("at"), "stage", F.lit(None).cast("int").alias("record"), "code", "message", "recoverable", "_src_start", "_src_end")
-    out = framing
-    for k, rows in enumerate(layers):
-        out = out.unionByName(rows.where("bad").select("_src_file", F.lit(k + 1).alias("rank"), F.col("packet_id").alias("at"), F.lit("dissecting").alias("stage"), F.col("packet_id").cast("int").alias("record"), F.lit("DISSECT_PARSE_FAILED").alias("code"), F.lit("a size runs past the captured bytes").alias("message"), F.lit(True).alias("recoverable"), "_src_start", "_src_end"))
-    w = Window.partitionBy("_src_file").orderBy(F.when(F.col("rank") == 0, 0).otherwise(1), "at", "rank")
-    return out.select(F.row_number().over(w).cast("long").alias("error_id"), "stage", "record", "code", "message", "recoverable", "_src_start", "_src_end", "_src_file")
-
-
-def capture_tables(frames: DataFrame) -> dict[str, DataFrame]:
-    """All tables of captures, as plans over the frames."""
-    p = packets(frames)
-    ips = ip(network(p))
-    tcps, udps, pings, pings6 = tcp(ips), udp(ips), icmp(ips), icmp(ips, v6=True)
-    names = dns(udps)
+def capture_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """All tables of captures, as selections of the rows of ``decode`` (or of frames, which are dissected first)."""
+    if "packet_id" not in rows.columns:
+        rows = dissect(rows)
     ts = F.timestamp_micros("ts_us").cast("timestamp_ntz")
+    of = lambda key: rows.where(f"{key} is not null")
+    pick = lambda key, *names: of(key).select(key, "packet_id", *names, *_where("l4_start", "l4_end"))
+    echo = (F.col("type"), F.col("echo_id"), F.col("echo_seq"))
     return {
-        "interfaces": frames.where("kind = 'interface'").select("interface_id", "section", "if_index", "linktype", "snaplen", "name", "description", "os", "comment", "ts_resolution", "ts_offset_s", "_src_start", "_src_end", "_src_file"),
-        "packets": p.select("packet_id", ts.alias("ts"), "caplen", "len", "linktype", "interface_id", "comment", "ts_ns", "_src_start", "_src_end", "_src_file"),
-        "ip": keyed(ips.drop("ts_us"), "ip_id"), "tcp": keyed(tcps.drop("ts_us", "src_addr", "dst_addr"), "tcp_id"), "udp": keyed(udps.drop("ts_us", "src_addr", "dst_addr"), "udp_id"),
-        "icmp": keyed(pings.drop("code"), "icmp_id"), "icmpv6": keyed(pings6, "icmpv6_id"), "dns": keyed(names.drop("ts_us"), "dns_id"), "errors": errors(frames, [ips, tcps, udps, pings, pings6, names]),
+        "interfaces": rows.where("kind = 'interface'").select("interface_id", "section", "if_index", "linktype", "snaplen", "name", "description", "os", "comment", "ts_resolution", "ts_offset_s", "_src_start", "_src_end", "_src_file"),
+        "packets": of("packet_id").select("packet_id", ts.alias("ts"), "caplen", "len", "linktype", "interface_id", "comment", "ts_ns", "_src_start", "_src_end", "_src_file"),
+        "ip": of("ip_id").select("ip_id", "packet_id", "version", "src_addr", "dst_addr", "proto", "hop_limit", "length", *_where("l3_start", "l3_end")),
+        "tcp": pick("tcp_id", "src_port", "dst_port", "seq", "ack", "flags", "window"),
+        "udp": pick("udp_id", "src_port", "dst_port", F.col("udp_length").alias("length")),
+        "icmp": pick("icmp_id", *echo),
+        "icmpv6": pick("icmpv6_id", echo[0], F.col("type_code").alias("code"), *echo[1:]),
+        "dns": of("dns_id").select("dns_id", "packet_id", F.lit(None).cast("long").alias("stream_id"), "tx_id", "qr", "query_name", "query_type", "qd_count", "an_count", *_where("payload_start", "dns_end")),
+        "errors": errors(rows),
     }

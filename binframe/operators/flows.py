@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BUFFERED = 1 << 20
@@ -21,9 +22,16 @@ class Assembler:
     base: int | None = None
     done: int = 0  # offsets below are consumed
     pieces: list[tuple[int, bytes, int]] = field(default_factory=list)  # (offset, bytes, file position), sorted, apart
+    front: bytearray = field(default_factory=bytearray)  # bytes from the consumed point on, up to the first gap
+    held: int = 0  # bytes that aren't consumed
     conflicts: int = 0
     truncated: bool = False
 
+    def _from(self, offset: int) -> int:
+        """Number of the first piece that reaches beyond an offset."""
+        k = bisect_right(self.pieces, offset, key=lambda x: x[0])
+        return k - 1 if k and self.pieces[k - 1][0] + len(self.pieces[k - 1][1]) > offset else k
+
     def add(self, offset: int, data: bytes, position: int) -> str:
         """added, rebased, duplicate, conflict, dropped or truncated."""
         if self.truncated:
@@ -37,57 +45,70 @@ class Assembler:
                 return "dropped"
             offset, data, position, trimmed = self.done, data[cut:], position + cut, "below"
         fresh: list[tuple[int, bytes, int]] = []
-        at, end, clash = offset, offset + len(data), False
-        for o, b, _ in self.pieces:
+        at, end, clash, k = offset, offset + len(data), False, self._from(offset)
+        while k < len(self.pieces):
+            o, b, _ = self.pieces[k]
             if o >= end:
                 break
             e = o + len(b)
-            if e <= at:
-                continue
             lo, hi = max(at, o), min(end, e)
             if lo > at:
                 fresh.append((at, data[at - offset : lo - offset], position + at - offset))
             clash |= data[lo - offset : hi - offset] != b[lo - o : hi - o]
             at = max(at, hi)
+            k += 1
         if at < end:
             fresh.append((at, data[at - offset :], position + at - offset))
         self.conflicts += clash
         if not fresh:
             return "conflict" if clash else "duplicate"
-        if self.outstanding() + sum(len(b) for _, b, _ in fresh) > self.most:
+        more = sum(len(b) for _, b, _ in fresh)
+        if self.held + more > self.most:
             self.truncated = True
             return "truncated"
-        self.pieces = sorted(self.pieces + fresh)
+        self.held += more
+        for x in fresh:
+            insort(self.pieces, x, key=lambda y: y[0])
         if offset < self.base:
             self.base = self.done = offset
+            self.front.clear()
+            self._extend()
             return "rebased"
+        self._extend()
         return trimmed or "added"
 
-    def outstanding(self) -> int:
-        return sum(o + len(b) - max(o, self.done) for o, b, _ in self.pieces if o + len(b) > self.done)
-
-    def ready(self) -> bytes:
-        """Bytes from the consumed point on, up to the first gap."""
-        out, at = [], self.done
-        for o, b, _ in self.pieces:
-            if o + len(b) <= at:
-                continue
-            if o > at:
+    def _extend(self) -> None:
+        top = self.done + len(self.front)
+        for k in range(self._from(top), len(self.pieces)):
+            o, b, _ = self.pieces[k]
+            if o > top:
                 break
-            out.append(b[at - o :])
-            at = o + len(b)
-        return b"".join(out)
+            self.front += b[top - o :]
+            top = o + len(b)
+
+    def ready(self) -> bytearray:
+        """Bytes from the consumed point on, up to the first gap; not to be changed."""
+        return self.front
+
+    def top(self) -> int:
+        """Where the last bytes that came end."""
+        return max(self.done, self.pieces[-1][0] + len(self.pieces[-1][1])) if self.pieces else self.done
 
     def take(self, n: int) -> list[tuple[int, int]]:
         """Consume n bytes; returns the file ranges they came from, merged."""
         start, end, found = self.done, self.done + n, []
-        for o, b, p in self.pieces:
+        for k in range(self._from(start), len(self.pieces)):
+            o, b, p = self.pieces[k]
             lo, hi = max(o, start), min(o + len(b), end)
-            if lo < hi:
-                found.append((p + lo - o, p + hi - o))
+            if lo >= hi:
+                break
+            found.append((p + lo - o, p + hi - o))
         self.done = end
-        keep = self.done - self.most
-        self.pieces = [x for x in self.pieces if x[0] + len(x[1]) > keep]
+        self.held -= n
+        del self.front[:n]
+        keep = self._from(self.done - self.most)
+        if keep > 64 and 2 * keep > len(self.pieces):
+            del self.pieces[:keep]
         return merge(found)
 
 
@@ -115,10 +136,13 @@ Framer = Callable[[bytes], int | None]
 
 
 def length_prefixed(view: bytes) -> int | None:
-    """Two bytes of length, then the message: DNS over TCP."""
+    """Two bytes of length, then the message: DNS over TCP. A length of nothing is no message."""
     if len(view) < 2:
         return None
-    return 2 + int.from_bytes(view[:2], "big")
+    size = int.from_bytes(view[:2], "big")
+    if not size:
+        raise ValueError("an empty message")
+    return 2 + size
 
 
 def tls_record(view: bytes) -> int | None:
@@ -161,17 +185,16 @@ class Generation:
         if self.stalled:
             return "error"
         ready = a.done + len(a.ready()) if a.base is not None else 0
-        top = max((o + len(b) for o, b, _ in a.pieces), default=ready)
-        if top > ready or self.close_at is not None and self.close_at > ready and a.base is not None:
+        if a.top() > ready or self.close_at is not None and self.close_at > ready and a.base is not None:
             return "gap"
         return "complete"
 
 
 class Stream:
-    """State of one stream key: feed segments in order of arrival."""
+    """State of one stream key: feed segments in order of arrival. Without ``keep`` no list of segments is held."""
 
-    def __init__(self, framer: Framer | None, most: int = MOST_BUFFERED) -> None:
-        self.framer, self.most, self.generations = framer, most, []
+    def __init__(self, framer: Framer | None, most: int = MOST_BUFFERED, keep: bool = True) -> None:
+        self.framer, self.most, self.generations, self.keep = framer, most, [], keep
 
     def feed(self, packet: int, seq: int, syn: bool, fin: bool, rst: bool, data: bytes, position: int) -> Iterator[dict[str, Any]]:
         """Messages that this segment completes."""
@@ -192,7 +215,8 @@ class Stream:
         if fin:
             g.close_at = max(at + len(data), g.close_at or 0)
         if not data:
-            g.segments.append((packet, at, position, position))
+            if self.keep:
+                g.segments.append((packet, at, position, position))
             return
         outcome = g.assembler.add(at, data, position)
         g.count += 1
@@ -200,7 +224,8 @@ class Stream:
             g.stalled = False
         if outcome in ("added", "rebased", "below"):
             g.bytes += len(data)
-            g.segments.append((packet, at, position, position + len(data)))
+            if self.keep:
+                g.segments.append((packet, at, position, position + len(data)))
         while self.framer and not g.stalled:
             view = g.assembler.ready()
             try:
@@ -212,16 +237,31 @@ class Stream:
                 return
             if n is None or len(view) < n:
                 return
-            offset = g.assembler.done - g.assembler.base
+            offset, data_ = g.assembler.done - g.assembler.base, bytes(view[:n])
             ranges = g.assembler.take(n)
             g.messages += 1
-            yield {"generation": g.number, "packet_id": packet, "offset": offset, "data": view[:n], "ranges": ranges}
+            yield {"generation": g.number, "packet_id": packet, "offset": offset, "data": data_, "ranges": ranges}
 
 
 FLOW = "_src_file string, src_addr string, src_port int, dst_addr string, dst_port int, tag string, generation long, first_packet long, packet_id long, offset long, data binary, ranges array<struct<start:long,end:long>>, segment_count long, byte_count long, message_count long, pending_bytes long, status string, handshake boolean, close_reason string, conflict_count long, _src_start long, _src_end long"
 KEYS = ["_src_file", "src_addr", "src_port", "dst_addr", "dst_port"]
 
 
+#: Segments that belong to no stream.
+NO_STREAM = "src_addr is null or dst_addr is null or src_port is null or dst_port is null or seq is null"
+
+
+def stream_key() -> Column:
+    """The key of a directed stream, ``source:port->destination:port``; null where a part is missing."""
+    return F.concat(F.col("src_addr"), F.lit(":"), F.col("src_port").cast("string"), F.lit("->"), F.col("dst_addr"), F.lit(":"), F.col("dst_port").cast("string"))
+
+
+def stream_errors(segments: DataFrame) -> DataFrame:
+    """Segments that can't be fed to a stream, as error rows: without a key, or without a place in the stream."""
+    code = F.when(stream_key().isNull(), "STREAM_KEY_INVALID").otherwise("STREAM_ERROR")
+    return segments.where(NO_STREAM).select(F.lit("streaming").alias("stage"), F.col("packet_id").cast("int").alias("record"), code.alias("code"), F.lit("no key or no offset").alias("message"), F.lit(True).alias("recoverable"), "_src_file")
+
+
 def flow_rows(segments: DataFrame, framers: dict[int, str] | None = None, most: int = MOST_BUFFERED) -> DataFrame:
     """Tagged rows (flow, segment, message) of every stream of TCP rows with payloads.
 
@@ -230,7 +270,7 @@ def flow_rows(segments: DataFrame, framers: dict[int, str] | None = None, most:
     """
     framers = framers if framers is not None else {443: "tls", 53: "dns"}
     order = ["packet_id", "seq", "flags", "payload", "payload_start"]
-    rows = segments.select(*KEYS, *order)
+    rows = segments.where(f"not ({NO_STREAM})").select(*KEYS, *order)
 
     def finish(key: tuple, s: Stream) -> Iterator[dict[str, Any]]:
         head = dict(zip(KEYS, key, strict=True))
@@ -297,6 +337,27 @@ def messages(rows: DataFrame) -> DataFrame:
     return rows.where("tag = 'message'").join(ids, [*KEYS, "generation"]).select("stream_id", "packet_id", *KEYS, "generation", "offset", "data", "_src_start", "_src_end", F.col("ranges").alias("_src_ranges"))
 
 
+def message_tables(messages_: DataFrame) -> dict[str, DataFrame]:
+    """dns and tls rows beneath messages; each inherits the span, the pieces, the stream and the completing packet of its message.
+
+    What can't be parsed is in ``errors``.
+    """
+    from binframe.operators import dissect
+
+    carried = ["packet_id", "stream_id"]
+    where = ["_src_start", "_src_end", "_src_ranges", "_src_file"]
+    of = lambda port: (F.col("src_port") == port) | (F.col("dst_port") == port)
+    names = messages_.where(of(dissect.PORT_DNS) & ~of(dissect.PORT_TLS)).withColumn("m", dissect.parse_dns(F.substring(F.col("data"), 3, 1 << 20)))
+    hellos = messages_.where(of(dissect.PORT_TLS) & (F.substring(F.col("data"), 1, 1) == F.lit(b"\x16")) & (F.substring(F.col("data"), 6, 1) == F.lit(b"\x01"))).withColumn("m", dissect.parse_hello("data"))
+    key = lambda name: F.row_number().over(Window.partitionBy("_src_file").orderBy("packet_id", "stream_id", "offset")).cast("long").alias(name)
+    bad = [m.where("not coalesce(m.ok, false)").select(F.lit("dissecting").alias("stage"), F.col("packet_id").cast("int").alias("record"), F.lit("DISSECT_PARSE_FAILED").alias("code"), F.lit(f"{kind} message").alias("message"), F.lit(True).alias("recoverable"), "_src_start", "_src_end", "_src_file") for kind, m in (("dns", names), ("tls", hellos))]
+    return {
+        "dns": names.where("m.ok").select(key("dns_id"), *carried, *[F.col(f"m.{c}").alias(c) for c in dissect.DNS.names if c != "ok"], *where),
+        "tls": hellos.where("m.ok").select(key("tls_id"), *carried, "m.tls_version", "m.sni", *where),
+        "errors": bad[0].unionByName(bad[1]),
+    }
+
+
 def stream_segments(rows: DataFrame) -> DataFrame:
     ids = streams(rows).select("stream_id", *KEYS, "generation")
     w = Window.partitionBy("_src_file").orderBy("packet_id", "stream_id")

@@ -78,7 +78,7 @@ def byte_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 5 = 0")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     return parts.select(F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("_src_file"), (F.col("p_partkey") * 8 + 3).alias("at"))
 
 
@@ -132,8 +132,8 @@ def csv_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {k: (_project(t), s) for k, (t, s) in TABLES.items()} | {
     "parent_key_join": (parent_key_join, "SELECT l_orderkey AS order_id, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY 1"),
     "byte_range_filter": (byte_range_filter, _R + "SELECT l_orderkey, l_linenumber, s AS _src_start, e AS _src_end FROM r WHERE f = 'A' AND s < 900 AND e > 400 AND (l_linenumber % 2 <> 0 OR (s < 900 AND s + 2 > 400) OR (e - 1 < 900 AND e > 400))"),
-    "coverage_rows_at": (coverage_rows_at, _R + "SELECT f AS file, p.\"at\", l_orderkey, l_linenumber, s AS _src_start FROM r JOIN (SELECT p_partkey * 8 + 3 AS \"at\" FROM part WHERE p_partkey % 5 = 0) p ON s <= p.\"at\" AND p.\"at\" < e"),
-    "coverage_range_at": (coverage_range_at, _R + "SELECT DISTINCT file, \"at\", _src_start, _src_end FROM (SELECT f AS file, p.\"at\", s AS _src_start, e AS _src_end, row_number() OVER (PARTITION BY f, p.\"at\" ORDER BY e - s, s DESC) AS k FROM r JOIN (SELECT p_partkey * 8 + 3 AS \"at\" FROM part WHERE p_partkey % 5 = 0) p ON s <= p.\"at\" AND p.\"at\" < e) x WHERE k = 1"),
+    "coverage_rows_at": (coverage_rows_at, _R + "SELECT f AS file, p.\"at\", l_orderkey, l_linenumber, s AS _src_start FROM r JOIN (SELECT p_partkey * 8 + 3 AS \"at\" FROM part) p ON s <= p.\"at\" AND p.\"at\" < e"),
+    "coverage_range_at": (coverage_range_at, _R + "SELECT DISTINCT file, \"at\", _src_start, _src_end FROM (SELECT f AS file, p.\"at\", s AS _src_start, e AS _src_end, row_number() OVER (PARTITION BY f, p.\"at\" ORDER BY e - s, s DESC) AS k FROM r JOIN (SELECT p_partkey * 8 + 3 AS \"at\" FROM part) p ON s <= p.\"at\" AND p.\"at\" < e) x WHERE k = 1"),
     "coverage_spans": (coverage_spans, _R + 'SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY s, e) % 2 AS INTEGER) AS shade, greatest(s, 1000) AS "from", least(e, 1500) AS "to" FROM r WHERE f = \'R\' AND s < 1500 AND e > 1000'),
     "merge_ranges": (merge_ranges, _R + ', o AS (SELECT f, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY f ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r WHERE s < e) SELECT f AS file, min(s) AS "start", max(e) AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY f ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o) x GROUP BY f, g'),
     "result_sort_asc": (_sorted(False), "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, CAST(row_number() OVER (PARTITION BY nullif(o_orderstatus, 'F') ORDER BY o_orderkey) AS INTEGER) AS place FROM orders"),

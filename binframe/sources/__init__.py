@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from binframe.sources import archive, pcap, smf
-from binframe.sources.framing import Framer, data_source, read_frames
+from binframe.sources.framing import COMMON, Framer, Memory, data_source, frames_of, read_frames, to_batches
 
 HEAD = 4096
 
@@ -74,11 +74,37 @@ FILES = "file string, original_name string, size bigint, ingest_order int, statu
 
 
 def files_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """_files of the files at ``paths``; heads are read by the executors, one row for each file comes to the driver."""
-    from pyspark.sql import functions as F
-
-    rows = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, HEAD).alias("head"), "length").orderBy("path").collect()
-    return spark.createDataFrame(plan_batch([(r.path.rpartition("/")[2], bytes(r.head), r.length) for r in rows]), FILES)
+    """_files of the files at ``paths``; executors read the heads only, one row for each file comes to the driver."""
+    found = spark.read.format("binaryFile").load(paths).select("path", "length").orderBy("path").collect()
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    rows = []
+    for r in found:
+        at = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+        stream = at.getFileSystem(hadoop).open(at)
+        try:
+            rows.append((r.path.rpartition("/")[2], bytes(stream.readNBytes(HEAD)), r.length))
+        finally:
+            stream.close()
+    return spark.createDataFrame([tuple(p.values()) for p in plan_batch(rows)], FILES)
+
+
+def frames_of_files(files: DataFrame, f: Format) -> DataFrame:
+    """Frames of files given as (name, content)."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType(COMMON + f.fields)
+    arrow, framer = to_arrow_schema(schema), f.framer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if data.is_valid:
+                    yield from to_batches(frames_of(framer, Memory(data.as_py()), name), arrow)
+
+    return files.mapInArrow(run, schema)
 
 
 def frames(spark: SparkSession, paths: str | list[str], name: str) -> DataFrame:

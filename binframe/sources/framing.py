@@ -75,7 +75,7 @@ def frames_of(framer: Framer, source: Source, name: str) -> Iterator[dict[str, A
         yield {"_src_file": name, "ordinal": n, "kind": "fatal", "code": e.code, "message": str(e), "stage": "framing", "recoverable": False, "_src_start": 0, "_src_end": 0}
 
 
-def _batches(rows: Iterator[dict[str, Any]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def to_batches(rows: Iterator[dict[str, Any]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[dict[str, Any]] = []
     for r in rows:
         held.append(r)
@@ -99,7 +99,7 @@ def read_frames(spark: SparkSession, paths: str | list[str], framer: Framer, fie
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _batches(frames_of(framer, Memory(data.as_py()), name), arrow)
+                yield from to_batches(frames_of(framer, Memory(data.as_py()), name), arrow)
 
     files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return files.mapInArrow(run, schema)
@@ -134,7 +134,7 @@ def data_source(short_name: str, framer: Framer, fields: list[T.StructField]) ->
 
             with open(partition.path, "rb") as f:
                 source = Windowed(f, os.path.getsize(partition.path))
-                yield from _batches(frames_of(framer, source, os.path.basename(partition.path)), to_arrow_schema(schema))
+                yield from to_batches(frames_of(framer, source, os.path.basename(partition.path)), to_arrow_schema(schema))
 
     class FramesSource(DataSource):
         @classmethod

@@ -27,7 +27,7 @@ class _Reassemble(StatefulProcessor):
         held = self.state.get() if self.state.exists() else None
         name = next((n for p, n in self.framers.items() if p in (key[2], key[4])), None)
         framer = FRAMERS[name] if name else None
-        stream: Stream = pickle.loads(bytes(held[0])) if held else Stream(None, self.most)  # noqa: S301
+        stream: Stream = pickle.loads(bytes(held[0])) if held else Stream(None, self.most, keep=False)  # noqa: S301
         stream.framer = framer
         out = []
         for batch in rows:

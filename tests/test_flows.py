@@ -1,7 +1,10 @@
+import random
+
 import pytest
 
 from binframe.operators import flows
 from binframe.operators.flows import Assembler, Stream, length_prefixed, merge, unwrap
+from binframe.sources import encode
 
 
 def feed(stream, *segments):
@@ -62,6 +65,50 @@ def test_gap_and_stall():
     assert t.generations[0].status() == "error"
 
 
+def test_empty_message_stalls():
+    s = Stream(length_prefixed)
+    assert feed(s, (0, "ACK", b"\0\0\0\1a"), (5, "ACK", b"\0\1b")) == []
+    assert s.generations[0].status() == "error" and len(s.generations[0].assembler.ready()) == 8
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_any_order_gives_the_bytes(seed):
+    """Pieces that are torn, repeated, overlapping and shuffled, against the whole; and consumed bit by bit."""
+    r = random.Random(seed)
+    whole = bytes(r.randrange(256) for _ in range(400))
+    cuts = [(a, min(400, a + r.randrange(1, 60))) for a in [r.randrange(400) for _ in range(60)]] + [(k, min(400, k + 37)) for k in range(0, 400, 37)]
+    r.shuffle(cuts)
+    a = Assembler()
+    a.base = a.done = 0
+    got, places = b"", []
+    for x, y in cuts:
+        a.add(x, whole[x:y], 1000 + x)
+        n = min(len(a.ready()), r.randrange(80))
+        got += bytes(a.ready()[:n])
+        places += a.take(n)
+    got += bytes(a.ready())
+    places += a.take(len(a.ready()))
+    assert got == whole and merge(places) == [(1000, 1400)] and a.conflicts == 0 and a.held == 0
+
+
+def test_rows_without_a_stream_are_errors(spark):
+    rows = [("f", None, 5, "b", 53, 1, 9, "ACK", b"x", 0), ("f", "a", 5, "b", 53, 2, None, "ACK", b"x", 0), ("f", "a", 5, "b", 53, 3, 1, "ACK", b"\0\1x", 0)]
+    df = spark.createDataFrame(rows, "_src_file string, src_addr string, src_port int, dst_addr string, dst_port int, packet_id long, seq long, flags string, payload binary, payload_start long")
+    assert sorted((e.record, e.code) for e in flows.stream_errors(df).collect()) == [(1, "STREAM_KEY_INVALID"), (2, "STREAM_ERROR")]
+    assert flows.messages(flows.flow_rows(df)).count() == 1 and df.select(flows.stream_key()).collect()[2][0] == "a:5->b:53"
+
+
+def test_rows_beneath_messages(spark):
+    hello, name = encode.client_hello("www.example.org"), encode.dns(7, "a.example")
+    rows = [("f", "a", 5, "b", 443, 1, 0, "SYN", b"", 0), ("f", "a", 5, "b", 443, 2, 1, "ACK", hello[:30], 100), ("f", "a", 5, "b", 443, 3, 31, "ACK", hello[30:], 300)]
+    rows += [("f", "a", 5, "b", 53, 4, 1, "ACK", len(name).to_bytes(2, "big") + name + b"\0\3bad", 500)]
+    df = spark.createDataFrame(rows, "_src_file string, src_addr string, src_port int, dst_addr string, dst_port int, packet_id long, seq long, flags string, payload binary, payload_start long")
+    t = flows.message_tables(flows.messages(flows.flow_rows(df)))
+    (h,), (d,), (e,) = t["tls"].collect(), t["dns"].collect(), t["errors"].collect()
+    assert (h.sni, h.tls_version, h.packet_id, [tuple(x) for x in h._src_ranges]) == ("www.example.org", "3.3", 3, [(100, 130), (300, 300 + len(hello) - 30)])
+    assert (d.query_name, d._src_start, d._src_end, d._src_ranges) == ("a.example", 500, 502 + len(name), None) and (e.code, e.record) == ("DISSECT_PARSE_FAILED", 4)
+
+
 def test_rows(spark):
     segments = [("f", "a", 5, "b", 53, k, seq, flags, data, 100 * k) for k, (seq, flags, data) in enumerate([(9, "SYN", b""), (12, "ACK", b"bc"), (10, "ACK", b"\0\3"[:2]), (14, "ACK", b"d"), (15, "FIN|ACK", b"")], 1)]
     df = spark.createDataFrame(segments, "_src_file string, src_addr string, src_port int, dst_addr string, dst_port int, packet_id long, seq long, flags string, payload binary, payload_start long")

@@ -46,8 +46,16 @@ def test_csv(spark, tmp_path):
 
 def test_only_queries(spark):
     assert r.run_sql(spark, "-- note\n select 1 as a").first().a == 1
-    with pytest.raises(PermissionError):
-        r.run_sql(spark, "drop table x")
+    spark.sql("create table if not exists only_queries (id bigint) using parquet")
+    spark.sql("insert into only_queries values (41)")
+    refused = ["drop table only_queries", "WITH t AS (SELECT 1 AS id) INSERT INTO only_queries SELECT * FROM t", "FROM range(3) INSERT INTO only_queries SELECT id", "insert overwrite only_queries select 1", "create view v as select 1", "set a=b", "cache table only_queries", "FROM range(3) INSERT INTO only_queries SELECT id INSERT INTO only_queries SELECT id + 1", "select java_method('java.lang.System', 'exit', 1)", "begin select 1; end"]
+    for text in refused:
+        with pytest.raises(PermissionError):
+            r.run_sql(spark, text)
+    assert [x.id for x in spark.table("only_queries").collect()] == [41]
+    for text in ("with t as (select id from only_queries) select * from t where id in (select 41)", "values (1)", "select 'insert into x; reflect(1)'", "explain select 1", "show tables", "describe only_queries", "from range(2) select id"):
+        r.run_sql(spark, text).collect()
+    spark.sql("drop table only_queries")
 
 
 def test_query_files():
