@@ -159,7 +159,7 @@ FRAMERS: dict[str, Framer] = {"dns": length_prefixed, "tls": tls_record}
 
 @dataclass
 class Generation:
-    """One connection of a stream key: its bytes, messages and state."""
+    """One connection of a stream key: its bytes, messages and state. The first one of a key is number 1."""
 
     number: int
     assembler: Assembler = field(default_factory=Assembler)
@@ -176,7 +176,7 @@ class Generation:
     stalled: bool = False
 
     def reason(self) -> str | None:
-        return "reset" if self.reset else "fin" if self.close_at is not None else None
+        return "rst" if self.reset else "fin" if self.close_at is not None else None
 
     def status(self) -> str:
         a = self.assembler
@@ -203,7 +203,7 @@ class Stream:
         raw = (seq + syn) % (1 << 32)
         g = self.generations[-1] if self.generations else None
         if g is None or syn and (g.opened and g.open_at % (1 << 32) != raw or not g.opened and g.assembler.base is not None and g.assembler.base % (1 << 32) != raw):
-            g = Generation(len(self.generations), Assembler(self.most), packet)
+            g = Generation(g.number + 1 if g else 1, Assembler(self.most), packet)
             self.generations.append(g)
         at = unwrap(raw, g.last)
         g.last = at

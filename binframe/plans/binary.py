@@ -430,7 +430,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "tcp_flows": (tcp_flows, f"WITH {_M} SELECT conv_id, stream_id, messages AS message_count, total AS byte_count, 'complete' AS status, true AS handshake, 'fin' AS close_reason, CAST(0 AS BIGINT) AS pending_bytes FROM s"),
     "tcp_segments": (tcp_segments, f"WITH {_M} SELECT conv_id, off + x AS \"offset\", y - x AS size FROM (SELECT conv_id, off, unnest([{{'x': 2 * len // 3, 'y': len}}, {{'x': CAST(0 AS BIGINT), 'y': len // 3}}, {{'x': len // 3, 'y': 2 * len // 3}}], recursive := true) FROM o) z UNION ALL SELECT conv_id, 0, 0 FROM s UNION ALL SELECT conv_id, total, 0 FROM s"),
     "flow_key": (flow_key, f"SELECT {_KEY} AS key, count(*) AS segments, CAST(sum(1 + turn) AS BIGINT) AS bytes FROM conversations GROUP BY 1"),
-    "tcp_generations": (tcp_generations, "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS generation, 1 + turn AS byte_count, true AS handshake, CASE WHEN turn % 2 = 1 THEN 'reset' ELSE 'fin' END AS close_reason, 'complete' AS status FROM conversations"),
+    "tcp_generations": (tcp_generations, "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS generation, 1 + turn AS byte_count, true AS handshake, CASE WHEN turn % 2 = 1 THEN 'rst' ELSE 'fin' END AS close_reason, 'complete' AS status FROM conversations"),
     "dns_tcp": (dns_tcp, f"SELECT {_at('conv_id')} AS file, row_number() OVER (PARTITION BY {_at('conv_id')} ORDER BY conv_id, turn) AS dns_id, CAST(turn & 65535 AS INTEGER) AS tx_id, 'c' || conv_id || '.t' || turn AS query_name, 28 AS query_type, 3 AS pieces FROM conversations"),
     "tls_sni": (tls_sni, f"SELECT {_at('conv_id')} AS file, row_number() OVER (PARTITION BY {_at('conv_id')} ORDER BY conv_id, turn) AS tls_id, 'c' || conv_id || '.t' || turn || '.example' AS sni, '3.' || (1 + turn % 3) AS tls_version, 3 AS pieces FROM conversations"),
     "midi_roundtrip": (midi_roundtrip, "SELECT user_id, row_number() OVER w AS event_id, row_number() OVER w - 1 AS event_index, CAST((epoch_us(ts) - first_value(epoch_us(ts)) OVER w) // 10000000 AS BIGINT) AS tick, CAST(event_id % 128 AS INTEGER) AS note FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),

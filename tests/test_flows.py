@@ -50,7 +50,7 @@ def test_messages_over_torn_late_and_wrapped_segments():
 def test_generations():
     s = Stream(None)
     feed(s, (100, "SYN", b""), (101, "ACK", b"a"), (100, "SYN", b""), (102, "FIN", b""), (900, "SYN", b""), (901, "RST", b""))
-    assert [(g.reason(), g.count) for g in s.generations] == [("fin", 1), ("reset", 0)]
+    assert [(g.reason(), g.count) for g in s.generations] == [("fin", 1), ("rst", 0)] and [g.number for g in s.generations] == [1, 2]
     late = Stream(None)
     feed(late, (101, "ACK", b"a"), (100, "SYN", b""))
     assert len(late.generations) == 1 and late.generations[0].opened
