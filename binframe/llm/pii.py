@@ -6,7 +6,9 @@ Null text counts as empty and has no spans. Offsets are code points, end exclusi
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from binframe.llm._util import map_text, table
 
 #: Order of kinds in every listing; the first four are the base kinds, which a low score never removes.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "phone_local")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "phone_local", "secret")
 BASE = KINDS[:4]
 THRESHOLD = 0.5
 #: Code points on each side in which context words count.
@@ -34,7 +36,14 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 
-_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.45, "phone_local": 0.35}
+#: Words without which no text is searched for secrets, long runs, and fixed beginnings of well-known keys.
+_HINT = re.compile(r"(?i)token|secret|key|passw|pwd|auth|ghp_|AKIA")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+")
+_KNOWN = re.compile(r"AKIA[0-9A-Z]{16}\Z|gh[pousr]_[A-Za-z0-9]{36}\Z|sk_live_[A-Za-z0-9]{16,}\Z|xox[bap]-[A-Za-z0-9-]{10,}\Z")
+#: Bits to a character that a secret has at least; words and numbers repeat their letters.
+_ENTROPY = 3.0
+
+_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.45, "phone_local": 0.35, "secret": 0.35}
 _RAISE, _LOWER = 0.25, 0.3
 _NEAR = {
     "email": re.compile(r"(?i)\b(?:e-?mail|contact|write|mailto|correo|courriel)\b"),
@@ -44,6 +53,7 @@ _NEAR = {
     "iban": re.compile(r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social|security|taxpayer)\b"),
     "phone_local": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|tel[eé]fono|t[eé]l[eé]phone)\b"),
+    "secret": re.compile(r"(?i)(?<![A-Za-z])(?:token|secret|api[ _-]?key|access[ _-]?key|key|password|passwd|pwd|auth|bearer|authorization)(?![A-Za-z])"),
 }
 _AGAINST = re.compile(r"(?i)\b(?:version|release|isbn|issn|section|invoice|order|part|serial|build)\b")
 
@@ -115,6 +125,20 @@ def _proposed(text: str) -> Iterable[tuple[str, int, int]]:
             yield "ssn", m.start(), m.end()
     for m in _LOCAL.finditer(text):
         yield "phone_local", m.start(), m.end()
+    if _HINT.search(text):
+        for m in _RUN.finditer(text):
+            if random_looking(m[0]):
+                yield "secret", m.start(), m.end()
+
+
+def random_looking(run: str) -> bool:
+    """Whether a run has letters and digits (or is one of the well-known keys) and letters that hardly repeat."""
+    if _KNOWN.match(run):
+        return True
+    if not _DIGIT.search(run) or run.isdigit():
+        return False
+    n = len(run)
+    return -sum(c / n * math.log2(c / n) for c in Counter(run).values()) >= _ENTROPY
 
 
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -125,7 +149,7 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
     """Spans of one text by kind (as in KINDS), then start. Added kinds need ``threshold`` and no overlap with a base span."""
     if not text:
         return []
-    if not _DIGIT.search(text):
+    if "AKIA" not in text and not _DIGIT.search(text):
         found = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     else:
         found = list(_proposed(text))
@@ -133,8 +157,11 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
         return []
     base = [(s, e) for k, s, e in found if k in BASE]
     out = []
+    numbered = [(s, e) for k, s, e in found if k == "iban"]
     for kind, s, e in found:
-        score = _SCORE[kind]
+        if kind == "secret" and any(s < y and x < e for x, y in numbered):
+            continue
+        score = 0.9 if kind == "secret" and _KNOWN.match(text[s:e]) else _SCORE[kind]
         around = f"{text[max(0, s - CONTEXT):s]} {text[e:e + CONTEXT]}"
         if _NEAR[kind].search(around):
             score += _RAISE
@@ -192,19 +219,19 @@ def mask(df: DataFrame, text: str = "text", *, threshold: float = THRESHOLD) ->
 def _digest(spans: list[Span]) -> tuple:
     base = [x for x in spans if x.kind in BASE]
     join = lambda xs: ",".join(f"{x.kind}:{x.start}:{x.end}" for x in xs)
-    return (*(sum(x.kind == k for x in base) for k in BASE), hashlib.sha256(join(base).encode()).hexdigest(), join(spans))
+    return (*(sum(x.kind == k for x in base) for k in BASE), len(spans), hashlib.sha256(join(base).encode()).hexdigest(), join(spans))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, digest and list of the spans of every document."""
+    """Counts (n_private: of all kinds), digest and list of the spans of every document."""
 
     def make():
         def fn(texts: pa.Array) -> list[pa.Array]:
             rows = [_digest(find(t)) for t in texts.to_pylist()]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            return [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:]]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            return [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.string()) for c in cols[5:]]
 
         return fn
 
-    fields = [T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    fields = [T.StructField(f"n_{k}", T.LongType()) for k in (*BASE, "private")] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     return map_text(table(spark, sf_dir, "documents"), make, fields, keep=["doc_id"])
