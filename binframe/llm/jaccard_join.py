@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binframe.llm._util import drop, map_text, spill, table
+from binframe.llm._util import drop, keeps, map_text, spill, table
 
 N, PERCENT = 3, 90
 #: Orders in which a set is cut until it has blocks enough; in the last one its empty blocks get lists as well.
@@ -71,6 +71,7 @@ class _Words(dict):
 
 
 _HASHES = _Words()
+keeps(__name__, _HASHES.clear)
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
@@ -184,6 +185,12 @@ def may_link(n: str, p: str, m: str, q: str, percent: int) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and ({bits}) * {100 + percent} <= ({n} + {m}) * {100 - percent}")
 
 
+def may_link_short(n: str, p: str, m: str, q: str, percent: int) -> Column:
+    """The same for parities of the least length, without loops: this is asked for every pair that a list leaves open."""
+    bits = " + ".join(f"bit_count({p}[{k}] ^ {q}[{k}])" for k in range(SHARES[0] // 64))
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and ({bits}) * {100 + percent} <= ({n} + {m}) * {100 - percent}")
+
+
 SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
 
 
@@ -312,19 +319,22 @@ def _label(frame: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """Sets of all rows, and links (a, b) of nodes: all of them, or as many as components need."""
+    """Sets of all rows; with ``every`` all links (a, b) of nodes, else node and component of those that have a link."""
     sets = index(df, id_col, text, n, percent)
     lists = _lists(sets)
     nodes = lists.select("node").distinct()
 
     def make():
-        return lambda texts: [pa.array([shingles(t, n).tobytes() for t in texts.to_pylist()], pa.binary())]
+        def fn(texts: pa.Array) -> list[pa.Array]:
+            packed_ = [shingles(t, n).tobytes() for t in texts.to_pylist()]
+            return [pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in packed_], pa.int64()), pa.array(packed_, pa.binary())]
+
+        return fn
 
     # One row stands for each node; rows that share an id and a text are one.
     first = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
     first = spill(first, "first")
-    packed = map_text(_rows(df, id_col, text).join(first.select("row"), "row", "left_semi"), make, [T.StructField("packed", T.BinaryType())], keep=["doc_id"])
-    hashed = packed.mapInArrow(_rehash, "node long, packed binary")
+    hashed = map_text(_rows(df, id_col, text).join(first.select("row"), "row", "left_semi"), make, [T.StructField("node", T.LongType()), T.StructField("packed", T.BinaryType())], keep=[], limit=2 << 20)
     held = spill(hashed.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "held")
     parities = first.select("node", F.expr(folded("parity", str(SHARES[0] // 64))).alias("parity"))
 
@@ -340,18 +350,22 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
     sure = 1.0 - percent / 100 - 1e-9
     derived: list[DataFrame] = []
 
-    def linked_pairs() -> DataFrame:
-        out = [c.where(f"100 * common >= {percent} * total").select("a", "b") for c in compared] + derived
-        for x in out[1:]:
-            out[0] = out[0].union(x)
-        return out[0]
+    def linked_pairs(tables: list[DataFrame]) -> DataFrame:
+        return tables[0].where(f"100 * common >= {percent} * total").select("a", "b") if len(tables) == 1 else linked_pairs(tables[:1]).union(linked_pairs(tables[1:]))
 
+    found: DataFrame | None = None
     pivots = 1
     while True:
         if every:
             labelled = lists.withColumn("component", F.col("node"))
         else:
-            found = components(linked_pairs())
+            # What is new joins the components that were found before.
+            new_links = linked_pairs(compared[-1:])
+            for x in derived[-1:]:
+                new_links = new_links.union(x)
+            if found is not None:
+                new_links = new_links.union(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+            found = components(new_links)
             labelled = _label(lists, found)
         # Lists with more than one component, and how far each of their sets is from the first pivot.
         open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where(f"lo <> hi and many > {pivots}").select("key", "many")
@@ -364,7 +378,7 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         rest_ = rest.withColumn("salts", F.ceil(F.col("many") * F.least("many", F.lit(pivots)) / LOOKS)).withColumn("salt", F.pmod(F.xxhash64("node", "key"), "salts"))
         chosen = rest_.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("many") < F.lit(pivots << 20)).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("d").alias("bd"), F.col("parity").alias("bp"))
         # Without a distance to the pivot only sizes and parities tell.
-        near = (F.col("component") != F.col("bc")) & F.coalesce(F.abs(F.col("d") - F.col("bd")) <= wide, F.lit(True)) & may_link("n", "parity", "bn", "bp", percent)
+        near = (F.col("component") != F.col("bc")) & F.coalesce(F.abs(F.col("d") - F.col("bd")) <= wide, F.lit(True)) & may_link_short("n", "parity", "bn", "bp", percent)
         more = rest_.join(chosen, ["key", "salt"]).where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.coalesce(F.col("d") + F.col("bd") <= sure, F.lit(False)).alias("sure"))
         more = spill(more.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
         seen = [c.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for c in compared]
@@ -374,7 +388,13 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         derived.append(more.where("sure").select("a", "b"))
         compared.append(_compare(spill(open_pairs(new), "pairs"), held, percent))
         drop(rest)
-    out = spill(linked_pairs().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if every:
+        all_links = linked_pairs(compared)
+        for x in derived:
+            all_links = all_links.union(x)
+        out = spill(all_links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    else:
+        out = found
     for x in (lists, held, first, *compared, *derived):
         drop(x)
     return sets, out
@@ -383,12 +403,10 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
 def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row for each row: doc_id, row, n_shingles, component (null for an empty set), component_id (the smallest id reachable
     by links) and class_id (the smallest id of equal sets)."""
-    sets, found = _search(df, id_col, text, n, percent, every=False)
-    labels = components(found)
+    sets, labels = _search(df, id_col, text, n, percent, every=False)
     by_node = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     smallest = _label(by_node, labels).select("component", "class_id").groupBy("component").agg(F.min("class_id").alias("component_id"))
     known = spill(_label(by_node, labels).join(smallest, "component").select("node", "component", "class_id", "component_id"), "components")
-    drop(found)
     out = sets.join(known, "node", "left")
     return out.select("doc_id", "row", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -408,12 +426,6 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int =
     return pairs, members
 
 
-def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = batch.column(1)
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in packed.to_pylist()], pa.int64()), packed], ["node", "packed"])
-
-
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of every document."""
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

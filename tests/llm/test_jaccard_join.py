@@ -80,6 +80,10 @@ def test_parities_are_folded_alike(spark):
     df = spark.createDataFrame([(6000, p, 250, q)], "n long, p array<long>, m long, q array<long>")
     assert list(df.selectExpr(j.folded("p", "4")).first()[0]) == fold(p, 4)
     assert [df.select(j.may_link(*x, 80)).first()[0] for x in (("n", "p", "n", "p"), ("n", "p", "m", "q"))] == [True, False]
+    sets = [j.shingles(t) for _, t in corpus(5, 3, 6) if t]
+    pairs = [(len(x), j.parity(x), len(y), j.parity(y)) for x in sets for y in sets]
+    short = spark.createDataFrame([r for r in pairs if len(r[1]) == len(r[3]) == 4], "n long, p array<long>, m long, q array<long>")
+    assert short.where(j.may_link("n", "p", "m", "q", 80) != j.may_link_short("n", "p", "m", "q", 80)).count() == 0 < short.where(j.may_link_short("n", "p", "m", "q", 80)).count()
 
 
 def test_sizes_have_their_classes():
