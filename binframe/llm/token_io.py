@@ -4,17 +4,18 @@ A segment holds the ids of whole documents. Its ids are ranked by frequency in a
 length; every block starts from an empty model and can be decoded alone, and all blocks of a segment are coded in step, one
 id of each at a time, as numpy vectors.
 
-For each id the model knows what followed the last two ids (order 2) and the last id (order 1) when they were last seen,
-and how often each of these predictions held of late. One symbol says "as order 2 predicts", "as order 1 predicts", or in
-which power of two the id's rank lies (order 0); its probabilities mix the counts kept for the present confidence in the
-two predictions with the counts kept for the block as a whole. Bits of the rank below the power of two follow as they are.
+Three predictions of each id are mixed. Order 2 and order 1 name the id that last followed the last two ids and the last
+one; order 0 is the distribution of the segment's ids, as rounded frequencies beside the dictionary. How much of the range
+goes to the first two is learned in the block: one estimate for each state of confidence (how often the predictions held of
+late, whether they agree) and one for the block as a whole are averaged with weights that follow their errors. What is left
+goes to order 0.
 
 Segments are rows of a Parquet table (part, seg, offset, n_docs, n_ids, data), so that writing has Spark's commit protocol and
 any store that Spark reaches will do. ``data`` is self-contained:
 
-    "CMR1", then little-endian 32-bit counts: docs, ids, dictionary entries, ids to a block, bytes of the packed index
+    "CMR2", then little-endian 32-bit counts: docs, ids, dictionary entries, ids to a block, bytes of the packed index
     index (zlib): document ids (int64, a null as the least), null flags (uint8), ids of each document (uint32),
-                  dictionary (uint32), of each block its 16-bit words and the CRC-32 of its ids (uint32 each)
+                  dictionary and frequencies (uint32 each), of each block its 16-bit words and the CRC-32 of its ids (uint32 each)
     CRC-32 of the index, then the blocks' words
 
 Null text counts as empty: just the end id. Rows with equal ids are written in the order of their texts; null ids come first.
@@ -22,6 +23,7 @@ Null text counts as empty: just the end id. Rows with equal ids are written in t
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,16 +35,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binframe.llm._util import shared_dir, table
-from binframe.llm.bpe import CACHE_WORDS, default_path
+from binframe.llm._util import enter, keeps, shared_dir, table
+from binframe.llm.bpe import default_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids to a block and to a segment at most (a longer document makes a longer segment).
 BLOCK, SEGMENT = 4096, 4 << 20
-_T1, _T2 = 2048, 4096
-_SYMBOLS, _RAW = 16, 18
-_TOP, _SMALL = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16, _MASK = np.uint64(16), np.uint64((1 << 48) - 1)
+#: Contexts that a block remembers, of order 1 and of order 2.
+_T1, _T2 = 512, 1024
+#: Different ids of a segment at most, as a power of two; frequencies add up to a power of two up to that.
+_MOST = 18
+#: States of confidence; steps after which the weights of the estimates follow their errors.
+_STATES, _WEIGH = 32, 16
+#: Nothing has followed a context yet: no rank is so high.
+_NONE = 0xFFFFFFFC
+_U4, _U16, _U32, _U48 = (np.uint64(k) for k in (4, 16, 32, 48))
+_SMALL = np.uint64(1 << 48)
 
 
 class CorruptSegment(ValueError):
@@ -50,56 +58,72 @@ class CorruptSegment(ValueError):
 
 
 class _Model:
-    """Predictions and counts of B blocks."""
+    """Predictions of B blocks, and how much of the range each gets."""
 
     def __init__(self, blocks: int) -> None:
-        b = self.b = blocks
-        self.row = np.arange(b)
-        self.id2, self.sure2 = np.full(b * _T2, -1, np.int32), np.zeros(b * _T2, np.uint8)
-        self.id1, self.sure1 = np.full(b * _T1, -1, np.int32), np.zeros(b * _T1, np.uint8)
-        self.counts = np.zeros((b * 16, _SYMBOLS), np.uint16)
-        self.all = np.ones((b, _SYMBOLS), np.uint16)
+        b = blocks
+        row = np.arange(b, dtype=np.int64)
+        self.after2, self.after1 = np.full(b * _T2, _NONE, np.uint32), np.full(b * _T1, _NONE, np.uint32)
+        # Estimates as shares of 65536: of each state, of the block; the errors of both; the states' weight of 256.
+        self.state2, self.state1 = np.full(b * _STATES, 20_000, np.int32), np.full(b * _STATES, 10_000, np.int32)
+        self.block2, self.block1 = np.full(b, 10_000, np.int32), np.full(b, 5_000, np.int32)
+        self.wrong_state, self.wrong_block, self.weight = np.full(b, 20_000, np.int32), np.full(b, 20_000, np.int32), np.full(b, 128, np.int32)
         self.last, self.prev = np.zeros(b, np.int64), np.zeros(b, np.int64)
-        self.at1, self.at2 = self.row * _T1, self.row * _T2
-        self.ctx = self.row * 16
-        self.cum = np.zeros((b, _SYMBOLS + 1), np.uint16)
+        self.at1, self.at2, self.at = row * _T1, row * _T2, row * _STATES
+        self.steps = 0
 
     def shrink(self, n: int) -> None:
         """The last block is shorter than the others."""
-        for k in ("row", "last", "prev", "at1", "at2", "ctx"):
+        for k in ("block2", "block1", "wrong_state", "wrong_block", "weight", "last", "prev", "at1", "at2", "at"):
             setattr(self, k, getattr(self, k)[:n])
-        self.all, self.cum, self.b = self.all[:n], self.cum[:n], n
-
-    def predict(self) -> np.ndarray:
-        """Cumulative frequencies of the symbols."""
-        self.s1 = self.at1 + (self.last & (_T1 - 1))
-        self.s2 = self.at2 + ((self.last * 2909 + self.prev * 10007) & (_T2 - 1))
-        self.p1, self.p2 = self.id1[self.s1], self.id2[self.s2]
-        self.c1, self.c2 = self.sure1[self.s1], self.sure2[self.s2]
-        self.k = self.ctx + self.c2 * 4 + self.c1
-        np.cumsum(self.counts[self.k] * np.uint16(3) + self.all, axis=1, dtype=np.uint16, out=self.cum[:, 1:])
-        return self.cum
-
-    def update(self, symbol: np.ndarray, rank: np.ndarray) -> None:
-        self.counts[self.k, symbol] += 1
-        self.all[self.row, symbol] += 1
-        self.sure2[self.s2] = np.where(self.p2 == rank, np.minimum(self.c2 + 1, 3), 0)
-        self.sure1[self.s1] = np.where(self.p1 == rank, np.minimum(self.c1 + 1, 3), 0)
-        self.id2[self.s2] = rank
-        self.id1[self.s1] = rank
-        self.prev, self.last = self.last, rank.astype(np.int64)
-
 
-#: Low bits of a rank by its symbol, and the lowest rank of the symbol.
-_BITS = np.array([0, 0, *range(_SYMBOLS - 3), _RAW], np.int64)
-_FROM = np.array([0, 0, *((1 << k) - 1 for k in range(_SYMBOLS - 3)), 0], np.int64)
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of 65536 for the prediction of order 2 and, behind it, for that of order 1."""
+        self.s1 = (self.last & (_T1 - 1)) + self.at1
+        self.s2 = ((self.last * 2909 + self.prev * 10007) & (_T2 - 1)) + self.at2
+        e1, e2 = self.after1.take(self.s1), self.after2.take(self.s2)
+        self.p1, self.p2 = (e1 >> 2).astype(np.int32), (e2 >> 2).astype(np.int32)
+        self.c1, self.c2 = e1 & 3, e2 & 3
+        self.k = self.at + (((self.p1 == self.p2).astype(np.uint32) << 4) | self.c2 << 2 | self.c1)
+        self.w2, self.w1 = self.state2.take(self.k), self.state1.take(self.k)
+        m2 = self.block2 + ((self.w2 - self.block2) * self.weight >> 8)
+        m1 = self.block1 + ((self.w1 - self.block1) * self.weight >> 8)
+        self.f2 = 64 + (m2 * 15 >> 4)
+        self.f1 = 1 + ((65536 - self.f2) * (m1 * 7 >> 3 & 0xFFFF).astype(np.int64) >> 16).astype(np.int32)
+        return self.f2, self.f1
+
+    def update(self, rank: np.ndarray) -> None:
+        held2, held1 = self.p2 == rank, self.p1 == rank
+        value = rank.astype(np.uint32) << 2
+        self.after2[self.s2] = value | held2 * np.minimum(self.c2 + 1, 3)
+        self.after1[self.s1] = value | held1 * np.minimum(self.c1 + 1, 3)
+        t2, t1 = held2.astype(np.int32) << 16, held1.astype(np.int32) << 16
+        off_state, off_block = t2 - self.w2, t2 - self.block2
+        self.state2[self.k] = self.w2 + (off_state >> 4)
+        # Order 1 counts only where order 2 doesn't hold.
+        free = ~held2
+        self.state1[self.k] = self.w1 + (t1 - self.w1 >> 4) * free
+        self.block2 = self.block2 + (off_block >> 6)
+        self.block1 = self.block1 + (t1 - self.block1 >> 6) * free
+        self.wrong_state = self.wrong_state + (np.abs(off_state) - self.wrong_state >> 5)
+        self.wrong_block = self.wrong_block + (np.abs(off_block) - self.wrong_block >> 5)
+        self.steps += 1
+        if self.steps % _WEIGH == 0:
+            self.weight = (self.wrong_block << 8) // (self.wrong_state + self.wrong_block + 1)
+        self.prev, self.last = self.last, rank.astype(np.int64)
 
 
-def _order0(rank: np.ndarray) -> np.ndarray:
-    return np.minimum(2 + np.log2(rank + 1.0).astype(np.int64), _SYMBOLS - 1)
+def _shares(freq: np.ndarray) -> tuple[np.ndarray, int]:
+    """Frequencies rounded so that they add up to a power of two, none to nothing; and the power."""
+    bits = min(_MOST, max(10, len(freq).bit_length() + 3))
+    spare = (1 << bits) - len(freq)
+    out = 1 + freq.astype(np.int64) * spare // max(1, int(freq.sum()))
+    if len(out):
+        out[0] += (1 << bits) - int(out.sum())
+    return out, bits
 
 
-def _encode_blocks(ranks: np.ndarray) -> list[np.ndarray]:
+def _encode_blocks(ranks: np.ndarray, shares: np.ndarray, bits: int) -> list[np.ndarray]:
     """16-bit words of each block of the flat ranks."""
     n, length = len(ranks), min(BLOCK, max(1, len(ranks)))
     b = -(-n // length) if n else 0
@@ -109,110 +133,117 @@ def _encode_blocks(ranks: np.ndarray) -> list[np.ndarray]:
     grid = np.zeros((b, length), np.int32)
     grid.ravel()[:n] = ranks
     grid = np.ascontiguousarray(grid.T)
-    order0 = _order0(grid)
+    size0 = shares.astype(np.uint64)
+    start0 = np.cumsum(size0) - size0
+    whole, shift0 = np.uint64(1 << bits), np.uint64(bits)
     m = _Model(b)
-    low, rng = np.zeros(b, np.uint64), np.full(b, _TOP - np.uint64(1), np.uint64)
-    # A symbol takes 15 bits at most and low bits 18: two words and some room.
-    words, pos = np.zeros((b, 3 * length + 8), np.uint16), np.zeros(b, np.int64)
-    done: list[tuple] = []
-
-    def carry() -> None:
-        over = np.flatnonzero(low > _MASK)
-        if len(over):
-            low[over] &= _MASK
-            at = pos[over] - 1
-            while len(over):
-                words[over, at] += 1
-                more = words[over, at] == 0
-                over, at = over[more], at[more] - 1
-
-    def renorm() -> None:
-        while True:
-            small = np.flatnonzero(rng < _SMALL)
-            if not len(small):
-                return
-            words[small, pos[small]] = low[small] >> np.uint64(32)
-            pos[small] += 1
-            low[small] = (low[small] & np.uint64(0xFFFFFFFF)) << _U16
-            rng[small] <<= _U16
+    low, rng = np.zeros(b, np.uint64), np.full(b, (1 << 64) - 1, np.uint64)
+    # An id takes three words at most, and the end two.
+    room = 3 * length + 8
+    words, pos = np.zeros(b * room, np.uint16), np.arange(b, dtype=np.int64) * room
+    ends: list[int] = []
+
+    def carry(over: np.ndarray) -> None:
+        at = pos[over] - 1
+        while len(at):
+            words[at] += 1
+            at = at[words[at] == 0] - 1
+
+    def finish(j: int) -> None:
+        """Two words that lie in the block's range whatever follows them."""
+        value = (int(low[j]) >> 32) + 1
+        if value >> 32:
+            carry(np.array([j]))
+        words[pos[j] : pos[j] + 2] = (value >> 16) & 0xFFFF, value & 0xFFFF
+        ends.append(int(pos[j]) + 2)
 
     for i in range(length):
         if i == tail and b > 1:
-            done.append((low[-1], pos[-1]))
+            finish(b - 1)
             b -= 1
             low, rng, pos = low[:b], rng[:b], pos[:b]
             m.shrink(b)
         rank = grid[i, :b]
-        cum = m.predict()
-        symbol = np.where(m.p2 == rank, 0, np.where(m.p1 == rank, 1, order0[i, :b]))
-        r = rng // cum[:, -1]
-        start = cum[m.row, symbol]
-        low += r * start
-        rng = r * (cum[m.row, symbol + 1] - start)
-        carry()
-        renorm()
-        bits = _BITS[symbol]
-        r = rng >> bits.astype(np.uint64)
-        low += r * (rank - _FROM[symbol]).astype(np.uint64) * (bits > 0)
-        rng = r
-        carry()
-        renorm()
-        m.update(symbol, rank)
-    lows, ends = ([*low, done[0][0]], [*pos, done[0][1]]) if done else (list(low), list(pos))
-    out = []
-    for j, (x, p) in enumerate(zip(lows, ends, strict=True)):
-        tail_words = [(int(x) >> s) & 0xFFFF for s in (32, 16, 0)]
-        out.append(np.r_[words[j, : int(p)], np.array(tail_words, np.uint16)].astype("<u2"))
-    return out
-
-
-def _decode_blocks(words: np.ndarray, lengths: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Flat ranks of n ids from the blocks' words."""
+        f2, f1 = m.predict()
+        is2 = m.p2 == rank
+        is1 = (m.p1 == rank) & ~is2
+        hit = is2 | is1
+        skip = np.where(is2, 0, np.where(hit, f2, f2 + f1))
+        take = np.where(is2, f2, np.where(hit, f1, 65536 - f2 - f1))
+        r = rng >> _U16
+        more = r * skip.astype(np.uint64)
+        r = r * take.astype(np.uint64) >> shift0
+        more += r * (start0.take(rank) * ~hit)
+        rng = r * np.where(hit, whole, size0.take(rank))
+        low += more
+        over = np.flatnonzero(low < more)
+        if len(over):
+            carry(over)
+        need = rng < _SMALL
+        words[pos] = low >> _U48
+        pos = pos + need
+        by = need.astype(np.uint64) << _U4
+        low <<= by
+        rng <<= by
+        while len(small := np.flatnonzero(rng < _SMALL)):
+            words[pos[small]] = low[small] >> _U48
+            pos[small] += 1
+            low[small] <<= _U16
+            rng[small] <<= _U16
+        m.update(rank)
+    for j in reversed(range(b)):
+        finish(j)
+    return [words[j * room : end].astype("<u2") for j, end in enumerate(reversed(ends))]
+
+
+def _decode_blocks(words: np.ndarray, lengths: np.ndarray, n: int, length: int, shares: np.ndarray, bits: int) -> np.ndarray:
+    """Flat ranks of n ids from the blocks' words; the last block may have fewer ids than ``length``."""
     b = len(lengths)
     if not b:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     tail = n - (b - 1) * length
     words = np.r_[words, np.zeros(4, np.uint16)].astype(np.uint64)
     at = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
-    rel = words[at] << np.uint64(32) | words[at + 1] << _U16 | words[at + 2]
-    at += 3
-    rng = np.full(b, _TOP - np.uint64(1), np.uint64)
+    rel = words[at] << _U48 | words[at + 1] << _U32 | words[np.minimum(at + 2, len(words) - 1)] << _U16 | words[np.minimum(at + 3, len(words) - 1)]
+    at += 4
+    size0 = shares.astype(np.uint64)
+    start0 = np.cumsum(size0) - size0
+    by_slot = np.repeat(np.arange(len(shares), dtype=np.int32), shares)
+    whole, shift0 = np.uint64(1 << bits), np.uint64(bits)
+    rng = np.full(b, (1 << 64) - 1, np.uint64)
     m = _Model(b)
     out = np.zeros((length, b), np.int32)
     most = len(words) - 1
 
-    def renorm() -> None:
-        while True:
-            small = np.flatnonzero(rng < _SMALL)
-            if not len(small):
-                return
-            rel[small] = rel[small] << _U16 | words[np.minimum(at[small], most)]
-            at[small] += 1
-            rng[small] <<= _U16
-
     for i in range(length):
         if i == tail and b > 1:
             b -= 1
             rel, rng, at = rel[:b], rng[:b], at[:b]
             m.shrink(b)
-        cum = m.predict()
-        total = cum[:, -1].astype(np.uint64)
-        r = rng // total
-        slot = np.minimum(rel // r, total - np.uint64(1)).astype(np.uint16)
-        symbol = (cum[:, 1:-1] <= slot[:, None]).sum(axis=1)
-        start = cum[m.row, symbol]
-        rel -= r * start
-        rng = r * (cum[m.row, symbol + 1] - start)
-        renorm()
-        bits = _BITS[symbol].astype(np.uint64)
-        r = rng >> bits
-        low_bits = np.minimum(rel // r, (np.uint64(1) << bits) - np.uint64(1))
-        rel -= r * low_bits
-        rng = r
-        renorm()
-        rank = np.where(symbol == 0, m.p2, np.where(symbol == 1, m.p1, _FROM[symbol] + low_bits.astype(np.int64))).astype(np.int32)
+        f2, f1 = m.predict()
+        r = rng >> _U16
+        slot = np.minimum(rel // r, np.uint64(65535)).astype(np.int32)
+        both = f2 + f1
+        is2, hit = slot < f2, slot < both
+        skip = np.where(is2, 0, np.where(hit, f2, both))
+        take = np.where(is2, f2, np.where(hit, f1, 65536 - both))
+        rel -= r * skip.astype(np.uint64)
+        r = r * take.astype(np.uint64) >> shift0
+        rank = by_slot.take(np.minimum(rel // r, whole - np.uint64(1)).astype(np.int64))
+        rel -= r * (start0.take(rank) * ~hit)
+        rng = r * np.where(hit, whole, size0.take(rank))
+        rank = np.where(is2, m.p2, np.where(hit, m.p1, rank))
+        need = rng < _SMALL
+        by = need.astype(np.uint64) << _U4
+        rel = rel << by | words.take(np.minimum(at, most)) * need
+        rng <<= by
+        at = at + need
+        while len(small := np.flatnonzero(rng < _SMALL)):
+            rel[small] = rel[small] << _U16 | words[np.minimum(at[small], most)]
+            at[small] += 1
+            rng[small] <<= _U16
         out[i, :b] = rank
-        m.update(symbol, rank)
+        m.update(rank)
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
@@ -224,50 +255,76 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     freq = np.bincount(flat) if n else np.zeros(0, np.int64)
     words = np.flatnonzero(freq)
     dictionary = words[np.argsort(-freq[words], kind="stable")]
-    if len(dictionary) > 1 << _RAW:
-        raise ValueError(f"more than {1 << _RAW} different ids")
+    if len(dictionary) > 1 << _MOST:
+        raise ValueError(f"more than {1 << _MOST} different ids")
     rank = np.zeros(len(freq), np.int32)
     rank[dictionary] = np.arange(len(dictionary))
-    blocks = _encode_blocks(rank[flat])
+    shares, bits = _shares(freq[dictionary])
+    blocks = _encode_blocks(rank[flat], shares, bits)
     length = min(BLOCK, max(1, n))
     crcs = [zlib.crc32(flat[k : k + length].astype("<u4").tobytes()) for k in range(0, n, length)]
     nulls = np.array([x is None for x in doc_ids], np.uint8)
     keys = np.array([-(1 << 63) if x is None else x for x in doc_ids], "<i8")
-    index = zlib.compress(b"".join([keys.tobytes(), nulls.tobytes(), counts.tobytes(), dictionary.astype("<u4").tobytes(), np.array([len(x) for x in blocks], "<u4").tobytes(), np.array(crcs, "<u4").tobytes()]), 1)
-    head = b"CMR1" + struct.pack("<5I", len(doc_ids), n, len(dictionary), length, len(index))
+    index = zlib.compress(b"".join([keys.tobytes(), nulls.tobytes(), counts.tobytes(), dictionary.astype("<u4").tobytes(), shares.astype("<u4").tobytes(), np.array([len(x) for x in blocks], "<u4").tobytes(), np.array(crcs, "<u4").tobytes()]), 1)
+    head = b"CMR2" + struct.pack("<5I", len(doc_ids), n, len(dictionary), length, len(index))
     return b"".join([head, index, struct.pack("<I", zlib.crc32(head + index)), *(x.tobytes() for x in blocks)])
 
 
+class Segment:
+    """A segment's index; blocks are decoded on demand, all at once or one alone."""
+
+    def __init__(self, data: bytes) -> None:
+        if data[:4] != b"CMR2" or len(data) < 28:
+            raise CorruptSegment("not a segment")
+        docs, self.n, size, self.length, packed = struct.unpack_from("<5I", data, 4)
+        end = 24 + packed
+        if len(data) < end + 4 or struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
+            raise CorruptSegment("the index is damaged")
+        index = zlib.decompress(data[24:end])
+        blocks, at = -(-self.n // self.length), 0
+
+        def take(dtype: str, count: int) -> np.ndarray:
+            nonlocal at
+            x = np.frombuffer(index, dtype, count, at)
+            at += x.nbytes
+            return x
+
+        keys, nulls, counts, self.dictionary, shares, lengths, self.crcs = (take(d, c) for d, c in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", size), ("<u4", size), ("<u4", blocks), ("<u4", blocks)))
+        self.doc_ids = [None if z else int(x) for x, z in zip(keys, nulls, strict=True)]
+        self.counts, self.shares, self.lengths = counts.astype(np.int64), shares.astype(np.int64), lengths.astype(np.int64)
+        self.bits = int(self.shares.sum()).bit_length() - 1
+        self.starts = np.r_[0, np.cumsum(self.lengths)]
+        if (len(data) - end - 4) // 2 < int(self.starts[-1]):
+            raise CorruptSegment("blocks are missing")
+        self.words = np.frombuffer(data, "<u2", int(self.starts[-1]), end + 4)
+
+    def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Ids of the blocks from ``first`` to before ``last``; only these are read and checked."""
+        last = len(self.lengths) if last is None else last
+        n = min(self.n, last * self.length) - first * self.length
+        words = self.words[self.starts[first] : self.starts[last]]
+        ranks = _decode_blocks(words, self.lengths[first:last], n, self.length, self.shares, self.bits)
+        # Damage can lead to a prediction where there was none.
+        flat = self.dictionary[np.minimum(ranks, max(0, len(self.dictionary) - 1))] if n > 0 else np.zeros(0, np.uint32)
+        for k in range(first, last):
+            at = (k - first) * self.length
+            if zlib.crc32(flat[at : at + self.length].astype("<u4").tobytes()) != int(self.crcs[k]):
+                raise CorruptSegment(f"block {k} is damaged")
+        return flat
+
+
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, ids of each document, and the flat ids of a segment; checks every checksum."""
-    if data[:4] != b"CMR1" or len(data) < 28:
-        raise CorruptSegment("not a segment")
-    docs, n, size, length, packed = struct.unpack_from("<5I", data, 4)
-    end = 24 + packed
-    if len(data) < end + 4 or struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
-        raise CorruptSegment("the index is damaged")
-    index = zlib.decompress(data[24:end])
-    blocks = -(-n // length)
-    at = 0
-
-    def take(dtype: str, count: int) -> np.ndarray:
-        nonlocal at
-        x = np.frombuffer(index, dtype, count, at)
-        at += x.nbytes
-        return x
-
-    keys, nulls, counts, dictionary, lengths, crcs = (take(d, c) for d, c in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", size), ("<u4", blocks), ("<u4", blocks)))
-    words = np.frombuffer(data, "<u2", offset=end + 4)
-    if len(words) != int(lengths.sum()):
-        raise CorruptSegment("blocks are missing")
-    ranks = _decode_blocks(words, lengths.astype(np.int64), n, length)
-    if n and (int(ranks.max()) >= size or int(ranks.min()) < 0):
-        raise CorruptSegment("an id is outside the dictionary")
-    flat = dictionary[ranks] if n else np.zeros(0, np.uint32)
-    for k in range(blocks):
-        if zlib.crc32(flat[k * length : (k + 1) * length].astype("<u4").tobytes()) != int(crcs[k]):
-            raise CorruptSegment(f"block {k} is damaged")
-    return [None if z else int(x) for x, z in zip(keys, nulls, strict=True)], counts.astype(np.int64), flat
+    s = Segment(data)
+    return s.doc_ids, s.counts, s.ids()
+
+
+#: Pieces that are one word for the vocabulary, and perhaps a mark behind it. Letters that lower case and NFC leave single.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+#: Pieces kept in each of a worker's two caches (about 150 bytes a piece).
+CACHE_WORDS = 400_000
+#: Words that the library gets as one text.
+_TOGETHER = 2000
 
 
 class WordEncoder:
@@ -287,21 +344,38 @@ class WordEncoder:
         self.library.no_padding()
         self.cache_words = cache_words
         self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters or single marks. The library sees many as one text; a word's last token is marked as such."""
+        out: dict[str, bytes] = {}
+        parts = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
+        for part, ids in zip(parts, self._library([" ".join(p) for p in parts]), strict=True):
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part):
+                raw, ends = ids.tobytes(), (at * 4).tolist()
+                out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            else:
+                out.update(zip(part, (x.tobytes() for x in self._library(part)), strict=True))
+        return out
 
     def _learn(self, missing: list[str]) -> None:
-        # A word of Latin letters with a stop or comma behind is the word in lower case, then the mark.
-        plan = [(p[:-1].lower(), p[-1]) if p[-1] in ".," and len(p) > 1 and p[:-1].isalpha() and max(p) < "İ" else (p.lower() if p.isalpha() and max(p) < "İ" else p, "") for p in missing]
-        new = list({x for pair in plan for x in pair if x} - self.cores.keys())
-        if len(self.cores) + len(new) > self.cache_words:
-            self.cores.clear()
-            new = list({x for pair in plan for x in pair if x})
-        self.cores.update(zip(new, self._library(new), strict=True))
-        cores = self.cores
-        self.pieces.update((p, cores[a] + cores[b] if b else cores[a]) for p, (a, b) in zip(missing, plan, strict=True))
+        # Upper case doesn't matter to the vocabulary, and a stop or comma is a word of its own.
+        plan, other = [], []
+        for p in missing:
+            if m := _SIMPLE(p):
+                plan.append((p, m[1].lower(), m[2]))
+            else:
+                other.append(p)
+        cores = self._words(list({c for _, c, _ in plan} | {".", ","}))
+        self.pieces.update([(p, cores[c] + cores[k] if k else cores[c]) for p, c, k in plan])
+        self.pieces.update(zip(other, (x.tobytes() for x in self._library(other)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -309,11 +383,15 @@ class WordEncoder:
         missing = wanted - self.pieces.keys()
         if missing:
             if len(self.pieces) + len(missing) > self.cache_words:
-                self.pieces.clear()
-                missing = wanted
-            missing.discard("")
+                # What was in use of late is taken over from the older half as it is met again.
+                self.older, self.pieces, missing = self.pieces, {}, wanted
             self.pieces[""] = b""
-            self._learn(list(missing))
+            missing.discard("")
+            again = missing & self.older.keys()
+            self.pieces.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            missing -= again
+            if missing:
+                self._learn(list(missing))
         get = self.pieces.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
@@ -323,6 +401,8 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+keeps(__name__, word_encoder.cache_clear)
+
 SEGMENTS = "part long, seg long, offset long, n_docs long, n_ids long, data binary"
 
 
@@ -334,6 +414,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     dealt = rows.repartitionByRange(parts, F.col("id").asc()).sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         encoder, part = word_encoder(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         keys, held, size, seg, offset = [], [], 0, 0, 0

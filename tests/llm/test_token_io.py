@@ -40,6 +40,42 @@ def test_damage_is_found():
         t.unpack(bytes(data[:-10]))
 
 
+@pytest.mark.parametrize("n", [1, 4095, 4096, 20_000])
+def test_blocks_alone(n):
+    ids = (np.random.default_rng(n).zipf(1.2, n) % 40_000).astype(np.int32)
+    s = t.Segment(t.pack([5], [ids]))
+    for k in range(len(s.lengths)):
+        assert s.ids(k, k + 1).tolist() == ids[k * t.BLOCK : (k + 1) * t.BLOCK].tolist()
+
+
+def test_damage_of_one_block_leaves_the_others():
+    ids = (np.random.default_rng(3).zipf(1.2, 20_000) % 40_000).astype(np.int32)
+    data = bytearray(t.pack([5], [ids]))
+    s = t.Segment(bytes(data))
+    first = len(data) - 2 * int(s.starts[-1])
+    for at in range(first + 2 * int(s.starts[2]), first + 2 * int(s.starts[3]), 97):
+        bad = bytearray(data)
+        bad[at] ^= 0x10
+        broken = t.Segment(bytes(bad))
+        for k in range(len(s.lengths)):
+            if k != 2:
+                assert broken.ids(k, k + 1).tolist() == ids[k * t.BLOCK : (k + 1) * t.BLOCK].tolist()
+        with pytest.raises(t.CorruptSegment):
+            broken.ids(2, 3)
+
+
+def test_shares():
+    for n in (1, 2, 100, 60_000, 1 << 18):
+        shares, bits = t._shares(np.sort(np.random.default_rng(n).zipf(1.3, n).clip(1, 10**6))[::-1])
+        assert shares.sum() == 1 << bits and shares.min() >= 1
+
+
+def test_long_text(spark, tmp_path, library):
+    docs = {1: "the old tree, " * 60_000, 2: "x" * 300_000, 3: "a"}
+    t.write(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), f"file://{tmp_path}/l", segment=50_000)
+    check(t.read(spark, f"file://{tmp_path}/l").collect(), docs, library)
+
+
 def test_encoder_equals_the_library(library):
     r = random.Random(11)
     parts = ["Aß", "b", " ", "  ", "\n", "\t", "'s", "É", "é", "12", ".", "!?", "<|endoftext|>", "　", "日本", "İ", "Σς", "the ", "Thé,", "x́", "\x1c", "ﬁ.", "'ll"]
