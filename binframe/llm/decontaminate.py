@@ -125,17 +125,18 @@ def search_shard(shard: Shard, queries: Queries, slop: int | None = None) -> tup
     if slop is not None:
         return _near(shard, keep, term, used, window, hits, length, slop)
     begin = hits - rarest[window]
-    # Where each term stands, to intersect with moved lists by position.
-    end = int(shard.first[-1] + shard.n_words[-1] + 1) if len(shard.first) else 0
-    forward = np.full(end, -1, np.int32)
-    forward[shard.positions] = np.repeat(np.arange(len(shard.terms), dtype=np.int32), size)
+    # The other lists, from the rarest on, moved likewise and intersected with what is left. All lists of a shard stand one
+    # after another in order of (term, position), so that one binary search looks all candidates up.
+    end = int(shard.first[-1] + shard.n_words[-1] + 1) if len(shard.first) else 1
+    lists = np.repeat(np.arange(len(shard.terms), dtype=np.int64) * end, size) + shard.positions
     ok = (begin >= 0) & (begin + length[window] <= end)
     window, begin = window[ok], begin[ok]
     for k in range(1, term.shape[1]):
         j = by_rarity[window, k]
         there = used[window, j]
-        same = forward[np.where(there, begin + j, 0)] == term[window, j]
-        ok = same | ~there
+        want = term[window, j] * end + begin + j
+        at = np.minimum(np.searchsorted(lists, want), len(lists) - 1)
+        ok = (lists[at] == want) | ~there
         window, begin = window[ok], begin[ok]
     return keep[window], begin, begin + length[window]
 
@@ -181,8 +182,8 @@ def _by_document(shard: Shard, queries: Queries, slop: int | None = None) -> lis
 
 
 def blocks(items: DataFrame, id_col: str, text: str, window: int) -> list[Queries]:
-    """The benchmark in blocks of about BLOCK_WORDS words; one for a usual benchmark."""
-    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null")
+    """The benchmark in blocks of about BLOCK_WORDS words; one for a usual benchmark. A null id counts as an empty one."""
+    rows = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{text}`").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // (4 * BLOCK_WORDS)))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))

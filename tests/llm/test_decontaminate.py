@@ -65,6 +65,15 @@ def test_query(spark, small):
     assert sorted(map(tuple, rows)) == sorted(brute(docs, items))
 
 
+def test_items_without_an_id_count(spark):
+    text = " ".join(f"w{k}" for k in range(14))
+    df = spark.createDataFrame([(1, f"a {text} b"), (2, "w1 w2"), (None, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (None, text), (7, "w1 w2"), (7, "w1 w2"), (8, None)], "item_id long, text string")
+    for frame in (d.search(d.build_index(df), bench), d.contamination(df, bench)):
+        got = {r.doc_id: ([tuple(h) for h in r.hits], list(r["items"])) for r in frame.collect()}
+        assert got == {1: ([(1, 15)], ["", "7"]), 2: ([(0, 2)], ["7"]), None: ([(0, 14)], ["", "7"])}
+
+
 def test_blocks_and_empty_tables(spark, monkeypatch):
     docs, items = random_case(99)
     df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, items int")
