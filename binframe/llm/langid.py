@@ -11,11 +11,11 @@ languages or null ids teach nothing. Repeated rows are predicted one by one.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +32,7 @@ FAMILIES = {
     "slavic": ("ru", "pl", "cs", "uk", "bg", "sk", "hr", "sr"),
     "uralic": ("fi", "hu", "et"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
 
@@ -153,10 +153,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model()
-    slot = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+    slot = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 63) - 1))
     chosen = F.lit(False)
     for name, n in counts.items():
-        chosen = chosen | ((F.col("lang") == name) & (slot < F.lit(min(1_000_000, int(1_100_000 * per_language / n) + 1))))
+        chosen = chosen | ((F.col("lang") == name) & (slot <= F.lit(int(min(1.0, (1.1 * per_language + 40) / n) * ((1 << 63) - 1024)))))
 
     def make():
         def fn(texts: pa.Array) -> list[pa.Array]:
@@ -165,7 +165,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
         return fn
 
-    sample = map_text(rows.where(chosen).withColumn("slot", slot), make, [T.StructField("bucket", T.BinaryType()), T.StructField("share", T.BinaryType())], keep=["slot", "lang"])
+    # Rows that repeat an id and a text count once, so that what comes to the driver is bounded.
+    some = rows.where(chosen).withColumn("slot", slot).dropDuplicates(["lang", "slot"])
+    sample = map_text(some, make, [T.StructField("bucket", T.BinaryType()), T.StructField("share", T.BinaryType())], keep=["slot", "lang"])
     by: dict[str, list] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["slot"], r["bucket"])):
         if r["bucket"] and len(by.setdefault(r["lang"], [])) < per_language:

@@ -13,6 +13,12 @@ def test_grams_stay_in_their_text():
         assert bucket[at[k] : at[k + 1]].tolist() == alone.tolist()
 
 
+def test_only_letters_are_letters():
+    m = g.Model.fit([("en", *g.features("the tree and the house")), ("de", *g.features("der baum und das haus"))] * 5)
+    texts = [None, "", "12 %", "\u00bd \u00b2 \u2163", "the tree", "\u00e9"]
+    assert [x == "und" for x in m.predict(texts)[0]] == [True, True, True, True, False, False]
+
+
 def test_machine_separates():
     r = np.random.default_rng(1)
     rows, sign = [], []
