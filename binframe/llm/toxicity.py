@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binframe.llm._util import fold, map_text, table
+from binframe.llm._util import fold, keeps, map_text, table
 
 #: Labelled rows to fit on at most.
 MOST = 4000
@@ -50,6 +50,7 @@ class _Buckets(dict):
 
 
 _KNOWN = _Buckets()
+keeps(__name__, _KNOWN.clear)
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -250,6 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     # At most ``most`` ids are broadcast, whatever the tables' sizes.
     ids = docs.sparkSession.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int")
     some = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id")
+    # Rows that repeat an id count once (the least text), so that what comes to the driver is bounded.
+    some = some.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def make():
         return lambda texts: [pa.array([word_ids(t).tobytes() for t in texts.to_pylist()], pa.binary())]
