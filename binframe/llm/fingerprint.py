@@ -115,6 +115,8 @@ def with_next(df: DataFrame, id_col: str, text: str) -> DataFrame:
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     many = min(RANGES, max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS)))
     many = max(1, min(many, n // 64))
+    # Some ranges to a task, so that chance doesn't give one task many of them; tasks grow with the rows.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // 2))
     cuts: list[int] = []
     if many > 1:
         at = [k / many for k in range(1, many)]
@@ -141,7 +143,7 @@ def with_next(df: DataFrame, id_col: str, text: str) -> DataFrame:
     wrap = F.struct(F.lit(lowest).cast("long").alias("range"), F.lit(2).alias("copy"))
     is_head = F.col("id").eqNullSafe(head)
     goes = F.filter(F.array(own, F.when(is_head, up), F.when(F.col("id").eqNullSafe(F.lit(first)), wrap)), lambda g: g["range"].isNotNull())
-    spread = placed.select("id", "text", F.explode(goes).alias("g")).select("id", "text", "g.range", "g.copy").repartition("range")
+    spread = placed.select("id", "text", F.explode(goes).alias("g")).select("id", "text", "g.range", "g.copy").repartition(tasks, "range")
     order = Window.partitionBy("range").orderBy("copy", F.col("id").desc_nulls_last(), "text")
     lead = spread.withColumn("vec", vector(pieces(F.col("text"))))
     return lead.select("id", "text", "vec", "copy", F.lead("text").over(order).alias("next_text"), F.lead("vec").over(order).alias("next_vec")).where("copy = 0").drop("copy")

@@ -1,5 +1,8 @@
 import hashlib
+import math
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from binframe.llm import fingerprint as fp
@@ -18,6 +21,43 @@ def check(rows, docs):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def digest(text):
+    """Count, lanes that decide equality and bits that are counted, piece by piece."""
+    lanes, bits = [0] * fp.EQUAL, [0] * fp.LIKE
+    parts = fp.split_pieces(text or "")
+    for piece in parts:
+        h = [xxhash.xxh64_intdigest(piece.encode(), xxhash.xxh64_intdigest(struct.pack("<i", k), 42)) for k in range(fp.SEEDS + fp.WORDS // 32)]
+        for k in range(fp.SEEDS):
+            lanes[2 * k] = (lanes[2 * k] + h[k]) % (1 << 32)
+            lanes[2 * k + 1] = (lanes[2 * k + 1] + (h[k] >> 32)) % (1 << 32)
+        for k in range(fp.LIKE):
+            bits[k] += h[fp.SEEDS + k // 64] >> k % 64 & 1
+    return len(parts), lanes, bits
+
+
+def written(d):
+    return "".join([f"{d[0]:08X}", *(f"{x:08X}" for x in d[1]), *(f"{d[2][k] | d[2][k + 1] << 31:016X}" for k in range(0, fp.LIKE, 2))])
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * v - d[0] for v in d[2]] for d in (a, b))
+    norm = math.sqrt(sum(v * v for v in x)) * math.sqrt(sum(v * v for v in y))
+    return max(0.0, min(1.0, sum(v * w for v, w in zip(x, y, strict=True)) / norm)) if norm else 0.0
+
+
+def test_lanes_and_likeness_equal_brute_force(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    order = sorted(docs, reverse=True)
+    for r in fp.op2_fingerprint(spark, small).collect():
+        text, nxt = docs[r.doc_id] or "", docs[order[(order.index(r.doc_id) + 1) % len(order)]] or ""
+        half = len(text) // 2
+        own, edit, other = digest(text), digest(text[: len(text) - half] + nxt[:half]), digest(nxt)
+        assert (r.fingerprint, r.edited_fingerprint) == (written(own), written(edit))
+        assert abs(r.near_edited - alike(own, edit)) < 1e-9 and abs(r.near_next - alike(own, other)) < 1e-9
+
+
 def test_query(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = fp.op2_fingerprint(spark, small).collect()
@@ -63,7 +103,7 @@ def test_lanes_of_long_texts_do_not_wrap(spark):
     own, other = [[f"{c}{k}" for k in range(n)] for c in "ab"]
     texts = {"own": own, "edit": own[: n - n // 10] + other[: n // 10], "other": other, "same": ["x"] * n, "more": ["x"] * n + own[: n // 10], "far": ["y"] * n}
     df = spark.createDataFrame([tuple("\n".join(x) for x in texts.values())], ", ".join(f"{k} string" for k in texts))
-    vecs = df.select(*[fp.vector(fp.pieces(F.col(k))).alias(k) for k in texts]).localCheckpoint()
+    vecs = df.select(*[fp.vector(fp.pieces(F.col(k))).alias(k) for k in texts]).persist()
     r = vecs.first()
     for k in texts:  # a lane counts pieces
         lanes = [w >> s & (1 << 31) - 1 for w in r[k][1 + fp.EQUAL :] for s in (0, 31)]
