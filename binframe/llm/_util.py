@@ -13,6 +13,34 @@ from pyspark.sql import types as T
 SLICE_BYTES = 8 << 20
 
 
+#: What modules keep in a worker between tasks: how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+_AT: list[str] = []
+
+
+def keeps(module: str, clear: Callable[[], None]) -> None:
+    """Tell that ``module`` keeps something in workers, and how to let go of it."""
+    _KEPT[module] = clear
+
+
+def enter(module: str) -> None:
+    """A task of ``module`` begins: what other modules kept in this worker goes, so that stages don't add up their caches."""
+    if _AT == [module]:
+        return
+    _AT[:] = [module]
+    for other, clear in _KEPT.items():
+        if other != module:
+            clear()
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,9 +86,10 @@ def map_text(
         hidden += "_"
     frame = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias(hidden))
     schema = T.StructType([frame.schema[c] for c in carry] + fields)
-    types = [_arrow(f) for f in fields]
+    types, owner = [_arrow(f) for f in fields], make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
         fn = make()
         for batch in batches:
             for part in slices(batch, hidden, limit):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binframe.llm._util import map_text, table
+from binframe.llm._util import keeps, map_text, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept in a worker's cache; past it the cache starts anew (about 150 bytes a piece).
@@ -244,6 +244,9 @@ def encoder(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+keeps(__name__, encoder.cache_clear)
+
+
 def default_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from binframe.llm._util import map_text, table
+from binframe.llm._util import keeps, map_text, table
 from binframe.llm.bpe import _ODD, BATCH_BYTES, CACHE_WORDS, ByteBPE, default_path, encoder
 
 #: Entries of tier one at most, shortest ids (the most frequent merges) first: under 4 MB broadcast.
@@ -82,6 +82,7 @@ class Counter:
 
 #: One counter in each Python worker.
 _COUNTERS: dict[str, Counter] = {}
+keeps(__name__, _COUNTERS.clear)
 
 
 def count_tokens(df: DataFrame, text: str = "text", *, path: str | None = None, limit: int = 512, keep: list[str] | None = None) -> DataFrame:
