@@ -191,7 +191,13 @@ def may_link_short(n: str, p: str, m: str, q: str, percent: int) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and ({bits}) * {100 + percent} <= ({n} + {m}) * {100 - percent}")
 
 
-SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
+SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType()))]
+KEYS = [T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+
+
+def _node(packed: bytes) -> int | None:
+    """What a set is known by; None for an empty one."""
+    return xxhash.xxh3_64_intdigest(packed) - (1 << 63) if packed else None
 
 
 def _rows(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -200,10 +206,23 @@ def _rows(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return frame.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def index(df: DataFrame, id_col: str, text: str, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row, n_shingles, node (null for an empty set), list keys and parity of each row, as a written table.
+def index(df: DataFrame, id_col: str, text: str, n: int = N) -> DataFrame:
+    """doc_id, row, n_shingles, node (null for an empty set) and parity of each row, as a written table."""
+
+    def make():
+        def fn(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles(t, n) for t in texts.to_pylist()]
+            return [pa.array([len(u) for u in sets], pa.int64()), pa.array([_node(u.tobytes()) for u in sets], pa.int64()), pa.array([parity(u) for u in sets], pa.list_(pa.int64()))]
+
+        return fn
+
+    return spill(map_text(_rows(df, id_col, text), make, SETS, keep=["doc_id", "row"], limit=2 << 20), "sets")
+
 
-    A task gives the keys of equal sets once.
+def _keyed(df: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """node, n and list keys of the rows with words; a task gives the keys of equal sets once.
+
+    Keys are many, so they go from here into the shuffle and are written nowhere else.
     """
 
     def make():
@@ -211,7 +230,7 @@ def index(df: DataFrame, id_col: str, text: str, n: int = N, percent: int = PERC
 
         def fn(texts: pa.Array) -> list[pa.Array]:
             sets = [shingles(t, n) for t in texts.to_pylist()]
-            nodes = [xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63) if len(u) else None for u in sets]
+            nodes = [_node(u.tobytes()) for u in sets]
             keys = []
             for u, node in zip(sets, nodes, strict=True):
                 keys.append(signatures(u, percent) if node not in given else np.zeros(0, np.uint64))
@@ -220,16 +239,16 @@ def index(df: DataFrame, id_col: str, text: str, n: int = N, percent: int = PERC
                 given.clear()
             offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            return [pa.array([len(u) for u in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([parity(u) for u in sets], pa.list_(pa.int64()))]
+            return [pa.array(nodes, pa.int64()), pa.array([len(u) for u in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
         return fn
 
-    return spill(map_text(_rows(df, id_col, text), make, SETS, keep=["doc_id", "row"], limit=2 << 20), "sets")
+    return map_text(df, make, KEYS, text, keep=[], limit=2 << 20)
 
 
-def _lists(sets: DataFrame) -> DataFrame:
+def _lists(keyed: DataFrame) -> DataFrame:
     """key, node, n, pivot of the lists with two nodes or more; a sorted partition streams by, no list is held."""
-    rows = sets.where("node is not null").select(F.explode("keys").alias("key"), "node", F.col("n_shingles").cast("int").alias("n"))
+    rows = keyed.where("node is not null").select(F.explode("keys").alias("key"), "node", "n")
     names = ["key", "node", "n", "pivot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,22 +339,20 @@ def _label(frame: DataFrame, found: DataFrame) -> DataFrame:
 
 def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
     """Sets of all rows; with ``every`` all links (a, b) of nodes, else node and component of those that have a link."""
-    sets = index(df, id_col, text, n, percent)
-    lists = _lists(sets)
+    sets = index(df, id_col, text, n)
+    lists = _lists(_keyed(df, text, n, percent))
     nodes = lists.select("node").distinct()
 
     def make():
         def fn(texts: pa.Array) -> list[pa.Array]:
-            packed_ = [shingles(t, n).tobytes() for t in texts.to_pylist()]
-            return [pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in packed_], pa.int64()), pa.array(packed_, pa.binary())]
+            packed = [shingles(t, n).tobytes() for t in texts.to_pylist()]
+            return [pa.array(map(_node, packed), pa.int64()), pa.array(packed, pa.binary())]
 
         return fn
 
     # One row stands for each node; rows that share an id and a text are one.
     first = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
     first = spill(first, "first")
-    hashed = map_text(_rows(df, id_col, text).join(first.select("row"), "row", "left_semi"), make, [T.StructField("node", T.LongType()), T.StructField("packed", T.BinaryType())], keep=[], limit=2 << 20)
-    held = spill(hashed.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "held")
     parities = first.select("node", F.expr(folded("parity", str(SHARES[0] // 64))).alias("parity"))
 
     ends = [first.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab"]
@@ -343,7 +360,21 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
     def open_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.join(ends[0], "a").join(ends[1], "b").where(may_link("na", "pa", "nb", "pb", percent)).select("a", "b")
 
-    compared = [_compare(spill(open_pairs(lists.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), "pairs"), held, percent)]
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Pairs that parities leave open, compared. Only the texts of their sets are fetched: what is asked for is written
+        first, so that a short list of rows reaches the texts by broadcast and a long one by shuffle, as its size says."""
+        pairs = spill(open_pairs(pairs), "pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        rows = spill(first.join(asked, "node", "left_semi").select("row"), "rows")
+        hashed = map_text(_rows(df, id_col, text).join(rows, "row", "left_semi"), make, [T.StructField("node", T.LongType()), T.StructField("packed", T.BinaryType())], keep=[], limit=2 << 20)
+        # A set is its node's, whatever else has the hash of its row.
+        held = spill(hashed.join(asked, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "held")
+        out = _compare(pairs, held, percent)
+        for x in (pairs, rows, held):
+            drop(x)
+        return out
+
+    compared = [compare(lists.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())]
     far = compared[0].select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
     wide = 1.0 - percent / 100 + 1e-9
     # Distances are sums of few rounded numbers; those that come out just at the limit are compared.
@@ -386,7 +417,7 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         for x in seen:
             new = new.join(x, ["a", "b"], "left_anti")
         derived.append(more.where("sure").select("a", "b"))
-        compared.append(_compare(spill(open_pairs(new), "pairs"), held, percent))
+        compared.append(compare(new))
         drop(rest)
     if every:
         all_links = linked_pairs(compared)
@@ -395,7 +426,7 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         out = spill(all_links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     else:
         out = found
-    for x in (lists, held, first, *compared, *derived):
+    for x in (lists, first, *compared, *derived):
         drop(x)
     return sets, out
 
@@ -407,8 +438,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int =
     by_node = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     smallest = _label(by_node, labels).select("component", "class_id").groupBy("component").agg(F.min("class_id").alias("component_id"))
     known = spill(_label(by_node, labels).join(smallest, "component").select("node", "component", "class_id", "component_id"), "components")
-    out = sets.join(known, "node", "left")
-    return out.select("doc_id", "row", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = sets.join(known, "node", "left").select("doc_id", "row", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = spill(out, "joined")
+    drop(sets)
+    drop(known)
+    return out
 
 
 def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
