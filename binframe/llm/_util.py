@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a Python worker; larger Arrow batches are cut.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch on its way to a worker; Spark would send ten thousand rows of whole texts at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 #: What modules keep in a worker between tasks: how to let go of it.
@@ -66,6 +69,13 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by bytes; a smaller bound of its own stays."""
+    now = str(spark.conf.get(_BATCH, None) or "")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
@@ -79,6 +89,7 @@ def map_text(
     ``make`` builds, once per task, a function from the Arrow array of texts to the new columns. ``keep`` names the
     columns to carry (default: all). A carried column with the name of a new one is replaced by the new one.
     """
+    small_batches(df.sparkSession)
     new = {f.name for f in fields}
     carry = [c for c in (df.columns if keep is None else keep) if c not in new]
     hidden = "__text"

@@ -30,6 +30,8 @@ from binframe.llm._util import map_text, slices, spill, table
 WINDOW = 10
 #: Words of the benchmark to a broadcast block: about 100 MB in a worker at most.
 BLOCK_WORDS = 1_000_000
+#: Bytes of text to a shard that lives in a worker only.
+SHARD_BYTES = 1 << 20
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -260,10 +262,10 @@ def contamination(df: DataFrame, items: DataFrame, text: str = "text", *, item_i
             return lambda texts: _columns(build_shard(texts.to_pylist()), held.value, None)
 
         if k == 0:
-            out = map_text(out, make, FOUND, text, keep)
+            out = map_text(out, make, FOUND, text, keep, limit=SHARD_BYTES)
         else:
             more = [T.StructField("n_words", T.LongType()), T.StructField("__hits", RANGES), T.StructField("__items", FOUND[2].dataType)]
-            out = map_text(out, make, more, text).withColumn("hits", _merged(F.concat("hits", "__hits"))).withColumn("items", F.array_sort(F.array_union("items", "__items"))).drop("__hits", "__items")
+            out = map_text(out, make, more, text, limit=SHARD_BYTES).withColumn("hits", _merged(F.concat("hits", "__hits"))).withColumn("items", F.array_sort(F.array_union("items", "__items"))).drop("__hits", "__items")
     return out
 
 
