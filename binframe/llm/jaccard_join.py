@@ -7,15 +7,18 @@ Index: sets whose sizes can match differ in at most H shingles, so when the hash
 blocks, two linked sets have a block in common. Lists are kept for (size class, block, content of the block); a probe skips
 every list but those, hence all entries that share just some frequent shingle. Empty blocks get no list, as unrelated sets
 would meet there: a set with more than H blocks that aren't empty shares one of those with each of its partners. One that
-has fewer is cut anew in another order of the hashes, where it meets the partners that had fewer too. Classes, H and blocks
-follow from sizes alone: no statistics of the corpus are gathered, and nothing is capped.
-
-Answers: in each list all sets that sizes and parities don't rule out are compared with one pivot. Jaccard distance is a metric, so the pivot's answers tell much of
-the others': sets whose distances to it add up to no more than the limit are linked, and those whose distances differ by
-more are not. ``join`` needs components only: lists that lie within one component are done, and of the rest only pairs of
-different components are compared. ``links`` gives every linked pair of different sets. Both take more pivots in each round,
-64 times as many until every set has been one, and compare two sets only if their parities differ in no more bits than
-linked sets may differ in shingles.
+has fewer is cut anew in another order of the hashes, where it meets the partners that had fewer too. Shingles that a sample
+shows to be common are left out of the first cuts, so that a block which holds nothing else makes no list of unrelated sets;
+whatever is left out, linked sets differ in no more of the rest. Classes, H and blocks follow from sizes alone, and nothing
+is capped.
+
+Answers: lists with one pivot are a group, in which all sets that sizes and parities don't rule out are compared with it.
+Jaccard distance is a metric, so the pivot's answers tell much of the others': sets whose distances to it add up to no more
+than the limit are linked, and those whose distances differ by more are not. Nor are sets that differ too much in what they
+hold of the pivot and in shingles that no other set of an open group has. ``join`` needs components only: groups that lie
+within one component are done, and of the rest only pairs of different components are compared. ``links`` gives every linked
+pair of different sets. Both take more pivots in each round, 64 times as many until every set has been one, and compare two
+sets only if their parities differ in no more bits than linked sets may differ in shingles.
 
 Two texts link when 100 * |intersection| >= 90 * |union| (``percent``). Sets hold 64-bit hashes of n-grams and are known by
 64-bit hashes of their own. Null or empty texts have no shingles and are linked with nothing, rows with equal ids are
@@ -31,15 +34,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binframe.llm._util import drop, keeps, map_text, spill, table
 
 N, PERCENT = 3, 90
-#: Orders in which a set is cut until it has blocks enough; in the last one its empty blocks get lists as well.
-ORDERS = 4
+#: Cuts of a set, one after another until it has blocks enough: whether common shingles take part, and how many times the
+#: blocks of its class. In the last one its empty blocks get lists as well.
+CUTS = ((False, 1), (False, 4), (True, 1), (True, 4))
+#: A shingle is common if so many of the different sets in a sample hold it. One set in SAMPLE is in the sample.
+COMMON, SAMPLE = 6, 16
+#: Common shingles at most that are told to the workers, the most frequent ones (8 bytes each).
+MOST_COMMON = 1 << 20
 #: Blocks are so many that a set has too few that aren't empty only if it lies so many standard deviations below the mean.
 DEVIATIONS = 2.5
 #: Parities of a set: so many at least and at most, four times as many until there is one for each shingle.
@@ -52,6 +60,7 @@ MORE = 64
 PAIRS = 1000
 #: Pairs of a list that one task looks at.
 LOOKS = 200_000
+NO_SHINGLES = np.zeros(0, np.uint64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -129,30 +138,41 @@ def _classes(size: int, percent: int) -> list[tuple[int, int, int]]:
     return classes(size, percent)
 
 
-def signatures(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def without(u: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Shingles of a set that aren't among the sorted common ones."""
+    if not len(common):
+        return u
+    at = np.searchsorted(common, u)
+    at[at == len(common)] = 0
+    return u[common[at] != u]
+
+
+def signatures(u: np.ndarray, percent: int = PERCENT, common: np.ndarray = NO_SHINGLES) -> np.ndarray:
     """List keys of a set.
 
-    Of two linked sets at most H blocks differ. If one of them has more than H blocks that aren't empty, one of these is the
-    other's as well; if neither has, both go on to the next order.
+    Of two linked sets at most H blocks differ, whichever shingles are left out of both. If one of them has more than H blocks
+    that aren't empty, one of these is the other's as well; if neither has, both go on to the next cut.
     """
     keys: list[np.ndarray] = []
-    orders: list[tuple[np.ndarray, np.ndarray]] = []
+    orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for number, need, blocks in _classes(len(u), percent):
         if need == 1:
             continue  # only equal sets can match
-        for order in range(ORDERS):
-            if order == len(orders):
-                v = np.sort(mix(u * _M1 + np.uint64(order))) if order else u
-                orders.append((v, np.r_[np.zeros(1, np.uint64), np.cumsum(mix(v ^ _M1), dtype=np.uint64)]))
+        for order, (whole, times) in enumerate(CUTS):
+            if order not in orders:
+                w = u if whole else without(u, common)
+                v = np.sort(mix(w * _M1 + np.uint64(order))) if order else w
+                orders[order] = v, np.r_[np.zeros(1, np.uint64), np.cumsum(mix(v ^ _M1), dtype=np.uint64)]
             v, total = orders[order]
-            cut = np.r_[0, np.searchsorted(v, _edges(blocks)), len(v)]
-            here = mix((total[cut[1:]] - total[cut[:-1]]) * _M1 + np.arange(blocks, dtype=np.uint64) * _M2 + np.uint64(number * ORDERS + order))
+            n = blocks * times
+            cut = np.r_[0, np.searchsorted(v, _edges(n)), len(v)]
+            here = mix((total[cut[1:]] - total[cut[:-1]]) * _M1 + np.arange(n, dtype=np.uint64) * _M2 + np.uint64(number * len(CUTS) + order))
             full = cut[1:] > cut[:-1]
             enough = int(full.sum()) >= need
-            keys.append(here[full] if enough or order < ORDERS - 1 else here)
+            keys.append(here[full] if enough or order < len(CUTS) - 1 else here)
             if enough:
                 break
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    return np.concatenate(keys) if keys else NO_SHINGLES
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
@@ -219,21 +239,44 @@ def index(df: DataFrame, id_col: str, text: str, n: int = N) -> DataFrame:
     return spill(map_text(_rows(df, id_col, text), make, SETS, keep=["doc_id", "row"], limit=2 << 20), "sets")
 
 
-def _keyed(df: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+def common_shingles(df: DataFrame, id_col: str, text: str, n: int = N) -> np.ndarray:
+    """Sorted shingles that many of the different sets in a sample of the rows hold.
+
+    Any set of shingles gives the same links: this one decides only which of them get lists of their own.
+    """
+
+    def make():
+        def fn(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles(t, n) for t in texts.to_pylist()]
+            return [pa.array([_node(u.tobytes()) for u in sets], pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))]
+
+        return fn
+
+    some = _rows(df, id_col, text).where(F.pmod("row", F.lit(SAMPLE)) == 0)
+    sets = map_text(some, make, [T.StructField("node", T.LongType()), T.StructField("held", T.ArrayType(T.LongType()))], keep=[], limit=2 << 20)
+    each = sets.where("node is not null").dropDuplicates(["node"]).select(F.explode("held").alias("shingle"))
+    found = each.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON)
+    return np.sort(found.toArrow().column("shingle").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _keyed(df: DataFrame, text: str, n: int, percent: int, common: np.ndarray) -> DataFrame:
     """node, n and list keys of the rows with words; a task gives the keys of equal sets once.
 
     Keys are many, so they go from here into the shuffle and are written nowhere else.
     """
 
+    told = df.sparkSession.sparkContext.broadcast(common)
+
     def make():
         given: set[int] = set()
+        common = told.value
 
         def fn(texts: pa.Array) -> list[pa.Array]:
             sets = [shingles(t, n) for t in texts.to_pylist()]
             nodes = [_node(u.tobytes()) for u in sets]
             keys = []
             for u, node in zip(sets, nodes, strict=True):
-                keys.append(signatures(u, percent) if node not in given else np.zeros(0, np.uint64))
+                keys.append(signatures(u, percent, common) if node not in given else np.zeros(0, np.uint64))
                 given.add(node)
             if len(given) > 1 << 20:
                 given.clear()
@@ -247,9 +290,13 @@ def _keyed(df: DataFrame, text: str, n: int, percent: int) -> DataFrame:
 
 
 def _lists(keyed: DataFrame) -> DataFrame:
-    """key, node, n, pivot of the lists with two nodes or more; a sorted partition streams by, no list is held."""
+    """Groups pivot, node, n: the nodes of all lists that have a pivot, itself included, of the lists with two nodes or more.
+
+    A list's pivot is its smallest node. Lists of one group of near copies mostly have the same nodes, so that their nodes are far
+    fewer than their entries. A sorted partition streams by, no list is held.
+    """
     rows = keyed.where("node is not null").select(F.explode("keys").alias("key"), "node", "n")
-    names = ["key", "node", "n", "pivot"]
+    names = ["pivot", "node", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # key, pivot, node and n of the last row, and whether the pivot has been given out
@@ -279,15 +326,15 @@ def _lists(keyed: DataFrame) -> DataFrame:
             sizes = n[first[lead]]
             if len(lead) and first[lead[0]] == 0 and last is not None:
                 sizes[0] = last[5]
-            out = [np.r_[key[emit], key[lead]], np.r_[node[emit], pivot[lead]], np.r_[n[emit], sizes], np.r_[pivot[emit], pivot[lead]]]
+            out = [np.r_[pivot[emit], pivot[lead]], np.r_[node[emit], pivot[lead]], np.r_[n[emit], sizes].astype(np.int32)]
             tail = int(first[-1])
             carried = tail == 0 and last is not None
             given = bool(other[tail:].any()) or carried and given
             last = (key[-1], pivot[-1], node[-1], n[-1], given, last[5] if carried else n[tail])
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (out[0], out[1], out[2].astype(np.int32), out[3])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
-    return spill(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, n int, pivot long"), "lists")
+    return spill(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "pivot long, node long, n int").distinct(), "lists")
 
 
 def _compare(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +387,7 @@ def _label(frame: DataFrame, found: DataFrame) -> DataFrame:
 def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
     """Sets of all rows; with ``every`` all links (a, b) of nodes, else node and component of those that have a link."""
     sets = index(df, id_col, text, n)
-    lists = _lists(_keyed(df, text, n, percent))
+    lists = _lists(_keyed(df, text, n, percent, common_shingles(df, id_col, text, n)))
     nodes = lists.select("node").distinct()
 
     def make():
@@ -360,22 +407,46 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
     def open_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.join(ends[0], "a").join(ends[1], "b").where(may_link("na", "pa", "nb", "pb", percent)).select("a", "b")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        """Pairs that parities leave open, compared. Only the texts of their sets are fetched: what is asked for is written
-        first, so that a short list of rows reaches the texts by broadcast and a long one by shuffle, as its size says."""
-        pairs = spill(open_pairs(pairs), "pairs")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def fetch(asked: DataFrame) -> DataFrame:
+        """Sets of some nodes. Only their texts are fetched: what is asked for is written first, so that a short list of rows
+        reaches the texts by broadcast and a long one by shuffle, as its size says."""
         rows = spill(first.join(asked, "node", "left_semi").select("row"), "rows")
         hashed = map_text(_rows(df, id_col, text).join(rows, "row", "left_semi"), make, [T.StructField("node", T.LongType()), T.StructField("packed", T.BinaryType())], keep=[], limit=2 << 20)
         # A set is its node's, whatever else has the hash of its row.
         held = spill(hashed.join(asked, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "held")
+        drop(rows)
+        return held
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Pairs that parities leave open, compared."""
+        pairs = spill(open_pairs(pairs), "pairs")
+        held = fetch(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         out = _compare(pairs, held, percent)
-        for x in (pairs, rows, held):
+        for x in (pairs, held):
             drop(x)
         return out
 
-    compared = [compare(lists.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())]
-    far = compared[0].select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
+    def alone(asked: DataFrame) -> DataFrame:
+        """node, t: how many shingles of each asked node no other of them holds."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 64):
+                    part = batch.slice(k, 64)
+                    packed = [x.as_buffer() for x in part.column(1)]
+                    node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [x.size // 8 for x in packed])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(node)], ["shingle", "node"])
+
+        asked = spill(asked, "asked")
+        held = fetch(asked)
+        own = held.select("node", "packed").mapInArrow(run, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+        out = spill(own.groupBy("node").agg(F.count("*").alias("t")), "alone")
+        drop(held)
+        drop(asked)
+        return out
+
+    compared = [compare(lists.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))]
+    far = compared[0].select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"), F.col("common").alias("c"))
     wide = 1.0 - percent / 100 + 1e-9
     # Distances are sums of few rounded numbers; those that come out just at the limit are compared.
     sure = 1.0 - percent / 100 - 1e-9
@@ -385,6 +456,7 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         return tables[0].where(f"100 * common >= {percent} * total").select("a", "b") if len(tables) == 1 else linked_pairs(tables[:1]).union(linked_pairs(tables[1:]))
 
     found: DataFrame | None = None
+    own: DataFrame | None = None
     pivots = 1
     while True:
         if every:
@@ -398,19 +470,31 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
                 new_links = new_links.union(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
             found = components(new_links)
             labelled = _label(lists, found)
-        # Lists with more than one component, and how far each of their sets is from the first pivot.
-        open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where(f"lo <> hi and many > {pivots}").select("key", "many")
-        rest = spill(labelled.join(open_, "key").join(far, ["node", "pivot"], "left").join(parities, "node").withColumn("d", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d"))), "open")
-        if rest.isEmpty():
-            drop(rest)
+        # Groups with more than one component (of two nodes, both have been compared), and how far each of their sets is from
+        # the first pivot.
+        open_ = spill(labelled.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where(f"lo <> hi and many > {max(pivots, 2)}").select("pivot", "many"), "open")
+        if open_.isEmpty():
+            drop(open_)
             break
+        if own is None:
+            # Later rounds are about some of these groups.
+            own = alone(lists.join(open_.where(f"many > {MORE}"), "pivot", "left_semi").select("node").distinct())
         pivots *= MORE
-        # Lists are cut into shares of their sets, each of which meets all pivots of this round in a task of its own.
-        rest_ = rest.withColumn("salts", F.ceil(F.col("many") * F.least("many", F.lit(pivots)) / LOOKS)).withColumn("salt", F.pmod(F.xxhash64("node", "key"), "salts"))
-        chosen = rest_.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("many") < F.lit(pivots << 20)).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("d").alias("bd"), F.col("parity").alias("bp"))
-        # Without a distance to the pivot only sizes and parities tell.
-        near = (F.col("component") != F.col("bc")) & F.coalesce(F.abs(F.col("d") - F.col("bd")) <= wide, F.lit(True)) & may_link_short("n", "parity", "bn", "bp", percent)
-        more = rest_.join(chosen, ["key", "salt"]).where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.coalesce(F.col("d") + F.col("bd") <= sure, F.lit(False)).alias("sure"))
+        rest = labelled.join(open_, "pivot").join(far, ["node", "pivot"], "left").join(parities, "node").join(own, "node", "left")
+        is_pivot = F.col("node") == F.col("pivot")
+        rest = rest.withColumn("d", F.when(is_pivot, 0.0).otherwise(F.col("d"))).withColumn("c", F.when(is_pivot, F.col("n")).otherwise(F.col("c")))
+        # What a pivot alone holds is counted as lacking in the others.
+        rest = spill(rest.withColumn("t", F.when(is_pivot, 0).otherwise(F.coalesce("t", F.lit(0)))), "open")
+        # Groups are cut into shares of their sets, each of which meets all pivots of this round in a task of its own. Pivots
+        # are the sets with the fewest shingles of their own: those that most of the others can be linked with.
+        rest_ = rest.withColumn("salts", F.ceil(F.col("many") * F.least("many", F.lit(pivots)) / LOOKS)).withColumn("salt", F.pmod(F.xxhash64("node", "pivot"), "salts"))
+        ranked = rest_.withColumn("rank", F.row_number().over(Window.partitionBy("pivot").orderBy("t", F.xxhash64("node"), "node"))).where(F.col("rank") <= pivots)
+        chosen = ranked.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), *(F.col(x).alias(f"b{x}") for x in ("n", "component", "d", "parity", "c", "t")))
+        # Without a distance to the pivot only sizes, parities and what a set alone holds tell. Two sets differ in the shingles
+        # that just one of them holds, none of which is the pivot's, and in as many of the pivot's as their shares differ in.
+        differ = F.col("t") + F.col("bt") + F.coalesce(F.abs(F.col("c") - F.col("bc")), F.lit(0))
+        near = (F.col("component") != F.col("bcomponent")) & F.coalesce(F.abs(F.col("d") - F.col("bd")) <= wide, F.lit(True)) & (differ * (100 + percent) <= (F.col("n") + F.col("bn")) * (100 - percent)) & may_link_short("n", "parity", "bn", "bparity", percent)
+        more = rest_.join(chosen, ["pivot", "salt"]).where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.coalesce(F.col("d") + F.col("bd") <= sure, F.lit(False)).alias("sure"))
         more = spill(more.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
         seen = [c.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for c in compared]
         new = more.where("not sure")
@@ -419,6 +503,7 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         derived.append(more.where("sure").select("a", "b"))
         compared.append(compare(new))
         drop(rest)
+        drop(open_)
     if every:
         all_links = linked_pairs(compared)
         for x in derived:
@@ -426,7 +511,7 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         out = spill(all_links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     else:
         out = found
-    for x in (lists, first, *compared, *derived):
+    for x in (lists, first, *compared, *derived, *([] if own is None else [own])):
         drop(x)
     return sets, out
 

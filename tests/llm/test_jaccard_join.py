@@ -119,6 +119,54 @@ def test_unlinked_sets_share_no_list(n, percent, size):
     assert len(seen) == len(set(seen))
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.9, 1.0])
+def test_linked_sets_share_a_list_whatever_is_common(share):
+    sets = [j.shingles(t, 5) for _, t in corpus(11, 8, 10)]
+    every = np.unique(np.concatenate(sets))
+    common = every[np.random.default_rng(2).random(len(every)) < share]
+    keys = [set(j.signatures(u, 80, common).tolist()) for u in sets]
+    for a in range(len(sets)):
+        for b in range(a):
+            c, t = j.linked(sets[a], sets[b])
+            if t and 100 * c >= 80 * t and not np.array_equal(sets[a], sets[b]):
+                assert keys[a] & keys[b]
+
+
+def test_a_common_passage_makes_no_list(spark):
+    """Unrelated texts with one passage: its shingles are found, and no list is made of the blocks that hold nothing else."""
+    r = random.Random(5)
+    texts = [" ".join([f"p{k}" for k in range(20)] + [f"v{r.randrange(10**9)}" for _ in range(80)]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common = j.common_shingles(df, "doc_id", "text", 5)
+    assert set(common.tolist()) == set(j.shingles(" ".join(f"p{k}" for k in range(20)), 5).tolist())
+
+    def meetings(*more):
+        keys = [k for t in texts for k in set(j.signatures(j.shingles(t, 5), 80, *more).tolist())]
+        return len(keys) - len(set(keys))
+
+    assert meetings() > 200 and meetings(common) == 0
+
+
+def test_few_pairs_of_a_large_group_are_compared(spark, monkeypatch):
+    """Near copies of one text, a third of them too far from all others: most pairs are ruled out before they are compared."""
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    docs = []
+    for k in range(150):
+        spots = set(r.sample(range(300), k % 24))
+        docs.append((k, " ".join(f"e{k}x{at}" if at in spots else w for at, w in enumerate(base))))
+    compared, real = [], j._compare
+
+    def count(pairs, held, percent):
+        compared.append(pairs.count())
+        return real(pairs, held, percent)
+
+    monkeypatch.setattr(j, "_compare", count)
+    got = sorted(map(tuple, j.join(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute(docs) and len({c for _, _, c in got}) > 40
+    assert sum(compared) < 1000, compared
+
+
 def test_null_ids_keep_their_links(spark):
     words = [f"w{k}" for k in range(60)]
     texts = [(5, 60), (None, 58), (9, 56), (12, 54), (None, 20), (30, 3), (None, 0)]
