@@ -14,11 +14,14 @@ is capped.
 
 Answers: lists with one pivot are a group, in which all sets that sizes and parities don't rule out are compared with it.
 Jaccard distance is a metric, so the pivot's answers tell much of the others': sets whose distances to it add up to no more
-than the limit are linked, and those whose distances differ by more are not. Nor are sets that differ too much in what they
-hold of the pivot and in shingles that no other set of an open group has. ``join`` needs components only: groups that lie
-within one component are done, and of the rest only pairs of different components are compared. ``links`` gives every linked
-pair of different sets. Both take more pivots in each round, 64 times as many until every set has been one, and compare two
-sets only if their parities differ in no more bits than linked sets may differ in shingles.
+than the limit are linked, and those whose distances differ by more are not. ``join`` needs components only: groups that lie
+within one component are done, in open ones of up to 64 sets pairs of different components are compared, and a larger one gets
+a reference, the shingles that most of a sample of its sets hold. Sets near enough to it are linked with the nearest; a set that
+is far can be linked only with sets that differ from the reference in the same shingles, and those that differ alike are found
+by lists of their differences, rare ones first. ``links`` gives every linked pair of different sets: it takes more pivots in
+each round, 64 times as many until every set has been one, and leaves out sets that differ too much in what they hold of the
+pivot and in shingles that no other set of an open group has. Two sets are compared only if their parities differ in no more
+bits than linked sets may differ in shingles.
 
 Two texts link when 100 * |intersection| >= 90 * |union| (``percent``). Sets hold 64-bit hashes of n-grams and are known by
 64-bit hashes of their own. Null or empty texts have no shingles and are linked with nothing, rows with equal ids are
@@ -58,6 +61,8 @@ RATIO = 1.5
 MORE = 64
 #: Comparisons of one pivot that go to one task.
 PAIRS = 1000
+#: Sets of a large group that its reference is made of.
+SAMPLED = 64
 #: Pairs of a list that one task looks at.
 LOOKS = 200_000
 NO_SHINGLES = np.zeros(0, np.uint64)
@@ -337,24 +342,149 @@ def _lists(keyed: DataFrame) -> DataFrame:
     return spill(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "pivot long, node long, n int").distinct(), "lists")
 
 
-def _compare(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """a, b, common, total of pairs of nodes; held: node, packed set."""
-    # A pivot with many pairs goes to several tasks, every other one to one.
+def _beside(pairs: DataFrame, held: DataFrame, other: DataFrame) -> DataFrame:
+    """a, b and columns of both: pairs a, b with those of ``held`` (by a) and ``other`` (by b). A b with many pairs goes to several tasks."""
     share = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("salts"))
     salted = pairs.join(share, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts"))
-    left = salted.select("a", "b", "salt").join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
-    pivots = held.join(share.withColumnRenamed("b", "node"), "node")
-    right = pivots.select(F.col("node").alias("b"), F.col("packed").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    left = salted.select("a", "b", "salt").join(held, "a")
+    right = other.join(share, "b").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return left.join(right, ["b", "salt"]).drop("salt")
+
+
+def _compare(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """a, b, common, total of pairs of nodes; held: node, packed set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c for c, _ in both], pa.int64()), pa.array([t for _, t in both], pa.int64())], ["a", "b", "common", "total"])
 
-    joined = left.join(right, ["b", "salt"]).select("a", "b", "x", "y")
+    joined = _beside(pairs, *(held.select(F.col("node").alias(x), F.col("packed").alias(y)) for x, y in (("a", "x"), ("b", "y")))).select("a", "b", "x", "y")
     return spill(joined.mapInArrow(run, "a long, b long, common long, total long"), "compared")
 
 
+def reference(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that most of some sets hold; those that are known of the sets, sorted, and how many of the sets differ from most in each.
+
+    A shingle that just one set has is not among the known ones; nothing differs there, as far as is known.
+    """
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    most = 2 * counts > len(sets)
+    known = most | (counts > 1)
+    return every[most], every[known], np.where(most, len(sets) - counts, counts)[known].astype(np.uint16)
+
+
+def excess(differ: int, size: int, percent: int) -> int:
+    """How far a set's difference from a reference is beyond its part of what a link allows, in units of 1 / (100 + percent).
+
+    Two sets are linked if their excesses add up to no more than nothing. Otherwise they are linked only if their differences
+    have at least that sum over 2 * (100 + percent) shingles in common.
+    """
+    return (100 + percent) * differ - (100 - percent) * size
+
+
+def prefixes(differ: int, over: int, least: int, percent: int) -> tuple[bool, int, int]:
+    """Whether a set is far, and how many of its difference's shingles, rare ones first, meet all far partners and all partners.
+
+    ``least`` is the least excess of the group. Sets that aren't far are linked with the one that has it, so that just pairs with
+    a far set are open. Of two sets that must have c shingles in common, all but the last c - 1 of one meet those of the other.
+    """
+    far = over + least > 0
+    shared = [max(1, -(-(over + partner) // (2 * (100 + percent)))) for partner in (max(1 - least, least), least)]
+    short, long = (max(0, differ - c + 1) for c in shared)
+    return far, short, max(short, long) if far else short
+
+
+def _references(sampled: DataFrame) -> DataFrame:
+    """pivot, b (what its reference is known by), base, known and differ of each pivot; sampled: pivot, packed, some sets of each."""
+    names = ["pivot", "b", "base", "known", "differ"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            base, known, differ = (x.tobytes() for x in reference(sets))
+            b = xxhash.xxh3_64_intdigest(base) - (1 << 63)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([b], pa.int64()), *(pa.array([x], pa.binary()) for x in (base, known, differ))], names)
+
+        at, sets = None, []
+        for batch in batches:
+            for pivot, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if pivot != at:
+                    if sets:
+                        yield made()
+                    at, sets = pivot, []
+                sets.append(np.frombuffer(packed.as_py(), np.uint64))
+        if sets:
+            yield made()
+
+    return sampled.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "pivot long, b long, base binary, known binary, differ binary")
+
+
+def _by_reference(lists: DataFrame, held: DataFrame, parities: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and open pairs (a, b) of large groups: together they join what is to be joined.
+
+    lists: pivot, node, component, n; held: node, packed; parities: node, parity, of the least length. A group's reference is what most of SAMPLED sets hold; groups with one reference
+    are one. Every set is compared with the reference alone, and what it differs in decides: whoever is near enough is linked with
+    the nearest set, and any other pair has to differ from the reference in the same shingles, which are lists again. The sample
+    decides how long these lists are, never which links are found.
+    """
+    rank = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("node"), "node"))
+    some = lists.withColumn("rank", rank).where(F.col("rank") <= SAMPLED).select("pivot", "node")
+    made = spill(_references(some.join(held, "node").select("pivot", "packed")), "references")
+    refs = made.groupBy("b").agg(F.min(F.struct("pivot", "base", "known", "differ")).alias("r")).select("b", "r.base", "r.known", "r.differ")
+    members = spill(lists.join(made.select("pivot", "b"), "pivot").select(F.col("node").alias("a"), "b", "component").distinct(), "members")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            over, rest = [], []
+            for packed, *ref in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+                x, base, known = (np.frombuffer(v.as_buffer(), np.uint64) for v in (packed, *ref[:2]))
+                often = np.frombuffer(ref[2].as_buffer(), np.uint16)
+                d = np.setxor1d(x, base, assume_unique=True)
+                k = np.zeros(len(d), np.uint16)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, d), len(known) - 1)
+                    k = np.where(known[at] == d, often[at], 0)
+                over.append(excess(len(d), len(x), percent))
+                rest.append(d[np.lexsort((d, k))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(over, pa.int64()), pa.array(rest, pa.binary())], ["a", "b", "over", "rest"])
+
+    both = _beside(members.select("a", "b"), held.select(F.col("node").alias("a"), "packed"), refs).select("a", "b", "packed", "base", "known", "differ")
+    measured = spill(both.mapInArrow(measure, "a long, b long, over long, rest binary"), "measured")
+    rows = measured.join(members, ["a", "b"])
+    least = spill(rows.groupBy("b").agg(F.min(F.struct("over", "a", "component")).alias("least")), "least")
+    nearest = measured.select("a", "b", "over").join(least, "b").where("over + least.over <= 0 and a <> least.a").select("a", F.col("least.a").alias("b"))
+    nearest = spill(nearest.distinct(), "nearest")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rest = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(5)]
+                told = [prefixes(len(x), over, low, percent) for x, over, low in zip(rest, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                sizes = [long for _, _, long in told]
+                cols = [np.repeat(c.to_numpy(zero_copy_only=False), sizes) for c in (part.column(0), part.column(1), part.column(2))]
+                far = np.repeat(np.array([f for f, _, _ in told], bool), sizes)
+                short = np.concatenate([np.arange(long) < s for _, s, long in told]) if told else far
+                shingle = np.concatenate([x[:long] for x, (_, _, long) in zip(rest, told, strict=True)]) if told else cols[0]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, shingle, far, short)], ["a", "b", "component", "shingle", "far", "short"])
+
+    # Sets that aren't far are of the nearest one's component from here on.
+    own = F.when(F.col("over") + F.col("least.over") > 0, F.col("component")).otherwise(F.col("least.component"))
+    cuts = rows.join(least, "b").select("a", "b", own.alias("component"), "over", F.col("least.over").alias("low"), "rest")
+    entries = cuts.mapInArrow(cut, "a long, b long, component long, shingle long, far boolean, short boolean")
+    at = Window.partitionBy("b", "shingle")
+    entries = entries.withColumn("lo", F.min("component").over(at)).withColumn("hi", F.max("component").over(at)).where("lo <> hi")
+    sizes = lists.select(F.col("node").alias("a"), "n").distinct().join(parities.withColumnRenamed("node", "a"), "a")
+    entries = spill(entries.join(sizes, "a").select("b", "shingle", "a", "component", "far", "short", "n", "parity"), "entries")
+    left = entries.where("short").select("b", "shingle", F.col("a").alias("x"), F.col("component").alias("xc"), F.col("far").alias("xfar"), F.col("n").alias("xn"), F.col("parity").alias("xp"))
+    right = entries.where("far").select("b", "shingle", F.col("a").alias("y"), F.col("component").alias("yc"), "short", F.col("n").alias("yn"), F.col("parity").alias("yp"))
+    pairs = left.join(right, ["b", "shingle"]).where(F.expr("xc <> yc and (not xfar or short and x < y)") & may_link_short("xn", "xp", "yn", "yp", percent))
+    pairs = spill(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
+    for x in (made, members, measured, least, entries):
+        drop(x)
+    return nearest, pairs
+
+
 def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """node, component (the smallest node reachable) of the nodes of edges (a, b), by alternating large and small stars.
 
@@ -458,17 +588,21 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
     found: DataFrame | None = None
     own: DataFrame | None = None
     pivots = 1
+
+    def joined() -> DataFrame:
+        """What is new joins the components that were found before."""
+        new_links = linked_pairs(compared[-1:])
+        for x in derived[-1:]:
+            new_links = new_links.union(x)
+        if found is not None:
+            new_links = new_links.union(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return components(new_links)
+
     while True:
         if every:
             labelled = lists.withColumn("component", F.col("node"))
         else:
-            # What is new joins the components that were found before.
-            new_links = linked_pairs(compared[-1:])
-            for x in derived[-1:]:
-                new_links = new_links.union(x)
-            if found is not None:
-                new_links = new_links.union(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-            found = components(new_links)
+            found = joined()
             labelled = _label(lists, found)
         # Groups with more than one component (of two nodes, both have been compared), and how far each of their sets is from
         # the first pivot.
@@ -476,11 +610,17 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         if open_.isEmpty():
             drop(open_)
             break
-        if own is None:
-            # Later rounds are about some of these groups.
-            own = alone(lists.join(open_.where(f"many > {MORE}"), "pivot", "left_semi").select("node").distinct())
         pivots *= MORE
-        rest = labelled.join(open_, "pivot").join(far, ["node", "pivot"], "left").join(parities, "node").join(own, "node", "left")
+        large, kept = None, []
+        if every:
+            if own is None:
+                # Later rounds are about some of these groups.
+                own = alone(lists.join(open_.where(f"many > {MORE}"), "pivot", "left_semi").select("node").distinct())
+        else:
+            large = open_.where(f"many > {pivots}")
+            open_groups = open_.where(f"many <= {pivots}")
+        rest = labelled.join(open_ if every else open_groups, "pivot").join(far, ["node", "pivot"], "left").join(parities, "node")
+        rest = rest.withColumn("t", F.lit(None).cast("long")) if own is None else rest.join(own, "node", "left")
         is_pivot = F.col("node") == F.col("pivot")
         rest = rest.withColumn("d", F.when(is_pivot, 0.0).otherwise(F.col("d"))).withColumn("c", F.when(is_pivot, F.col("n")).otherwise(F.col("c")))
         # What a pivot alone holds is counted as lacking in the others.
@@ -496,14 +636,28 @@ def _search(df: DataFrame, id_col: str, text: str, n: int, percent: int, every:
         near = (F.col("component") != F.col("bcomponent")) & F.coalesce(F.abs(F.col("d") - F.col("bd")) <= wide, F.lit(True)) & (differ * (100 + percent) <= (F.col("n") + F.col("bn")) * (100 - percent)) & may_link_short("n", "parity", "bn", "bparity", percent)
         more = rest_.join(chosen, ["pivot", "salt"]).where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.coalesce(F.col("d") + F.col("bd") <= sure, F.lit(False)).alias("sure"))
         more = spill(more.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
+        sure_links, new = more.where("sure").select("a", "b"), more.where("not sure").select("a", "b")
+        if large is not None and not large.isEmpty():
+            groups = spill(labelled.join(large, "pivot", "left_semi").select("pivot", "node", "component", "n"), "groups")
+            asked = spill(groups.select("node").distinct(), "asked")
+            held = fetch(asked)
+            nearest, wanted = _by_reference(groups, held, parities, percent)
+            sure_links, new = sure_links.union(nearest), new.union(wanted).distinct()
+            kept = [nearest, wanted]
+            for x in (groups, asked, held):
+                drop(x)
         seen = [c.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for c in compared]
-        new = more.where("not sure")
         for x in seen:
             new = new.join(x, ["a", "b"], "left_anti")
-        derived.append(more.where("sure").select("a", "b"))
+        derived.append(sure_links)
         compared.append(compare(new))
         drop(rest)
         drop(open_)
+        if not every:
+            found = joined()
+            for x in kept:
+                drop(x)
+            break
     if every:
         all_links = linked_pairs(compared)
         for x in derived:

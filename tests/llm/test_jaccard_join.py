@@ -235,3 +235,43 @@ def test_empty(spark):
 def test_query(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert sorted(map(tuple, j.op8_jaccard_join(spark, small).collect())) == brute(docs)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("seed", range(6))
+def test_linked_sets_differ_alike_from_a_reference(seed, percent):
+    """Whatever the reference, linked sets are both near, or their prefixes meet."""
+    r = random.Random(seed)
+    sets = [u for u in (j.shingles(t) for _, t in corpus(seed, 5, 14)) if len(u)]
+    some = r.sample(sets, 5) if seed % 2 else sorted(sets, key=len)[-9:]
+    base, known, often = j.reference(some)
+    rarity = dict(zip(known.tolist(), often.tolist(), strict=True))
+    rest = [sorted(np.setxor1d(u, base).tolist(), key=lambda e: (rarity.get(e, 0), e)) for u in sets]
+    over = [j.excess(len(d), len(u), percent) for d, u in zip(rest, sets, strict=True)]
+    cut = [j.prefixes(len(d), o, min(over), percent) for d, o in zip(rest, over, strict=True)]
+    nearest = sets[over.index(min(over))]
+    for (far, _, _), u in zip(cut, sets, strict=True):
+        c, t = j.linked(u, nearest)
+        assert far or 100 * c >= percent * t
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            c, t = j.linked(sets[a], sets[b])
+            if 100 * c >= percent * t and not np.array_equal(sets[a], sets[b]) and cut[b][0]:
+                long = cut[b][1] if cut[a][0] else cut[b][2]
+                assert set(rest[a][: cut[a][1]]) & set(rest[b][:long])
+
+
+def test_far_copies_of_one_text(spark, monkeypatch):
+    """Pairs of long texts, all of them too far from the text that they come from, in groups that have references."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(1500)]
+    docs = [(0, " ".join(base))]
+    for k in range(50):
+        spots = set(r.sample(range(1500), 150))
+        for _ in range(2):
+            docs.append((len(docs), " ".join(f"e{k}x{at}" if at in spots else w for at, w in enumerate(base))))
+            spots = set(sorted(spots)[:-3])
+    monkeypatch.setattr(j, "COMMON", 10**9)
+    monkeypatch.setattr(j, "MORE", 8)
+    got = sorted(map(tuple, j.join(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute(docs) and len({c for _, _, c in got}) == 51
