@@ -107,3 +107,77 @@ def test_odd_tables(spark, tmp_path, library):
     t.write(spark.createDataFrame([(None, "x"), (1, "y"), (1, "y")], "doc_id long, text string"), f"file://{tmp_path}/n", segment=2)
     rows = sorted(t.read(spark, f"file://{tmp_path}/n", ids=True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, 1, 1] and [r.start for r in rows] == [0, 2, 4] and rows[1].ids[-1] == 2
+
+
+def test_words_of_letters_skip_the_normalizer(library):
+    e = t.WordEncoder(default_path(t.VOCABULARY))
+    whole, seen = e.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    e.library = Counted()
+    texts = ["The old tree, the OLD tree.\nÉté, été öde.", "a tree  isn't (old)"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(seen) == ["", "(old)", ",", ".", "isn't"]
+    seen.clear()
+    e.encode(texts)
+    assert not seen
+
+
+def test_steps_of_the_coder_take_few_new_arrays():
+    import tracemalloc
+
+    b = 1000
+    m, rank = t._Model(b), np.arange(b, dtype=np.int32)
+    m.predict()
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        m.predict()
+        assert tracemalloc.get_traced_memory()[1] - before < 16 * b
+    finally:
+        tracemalloc.stop()
+    m.update(rank, m.k)
+    m.predict()
+    assert (m.last == rank).all()
+
+
+def test_flat_ids_and_forgetting(library):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    e = t.WordEncoder(default_path(t.VOCABULARY), cache_words=60)
+    for n in range(8):
+        texts = [r.choice([None, "", " ", "x" * 300, *(" ".join("".join(r.choice("abcdeéÀ.,'1") for _ in range(r.randrange(7))) for _ in range(20)) for _ in range(3))]) for _ in range(n)]
+        flat, counts = e.flat(pa.array(texts, pa.string()), 2)
+        want = [library.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+        assert counts.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, [])
+        assert len(e.words) == len(set(e.words.to_pylist())) <= 60
+    part = pa.array(["b", "a c", "d"], pa.string()).slice(1, 2)
+    assert e.flat(part, 2)[1].tolist() == [3, 2] and e.flat(part)[1].tolist() == [2, 1]
+
+
+def test_other_vocabularies_take_the_whole_library(tmp_path):
+    import json
+
+    with open(default_path(t.VOCABULARY), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    e, texts = t.WordEncoder(str(tmp_path / "v.json")), ["The OLD tree, Été.", "old"]
+    assert not e.simple
+    want = Tokenizer.from_file(str(tmp_path / "v.json")).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in want]
+
+
+@pytest.mark.parametrize("n", [3 * 4096, 3 * 4096 + 1, 4 * 4096 - 1])
+def test_last_block_alone_is_as_in_step(n):
+    ids = np.r_[(np.random.default_rng(n).zipf(1.1, n - 900) % 200_000), np.tile(np.arange(9), 100)].astype(np.int32)
+    s = t.Segment(t.pack([1], [ids]))
+    assert s.ids().tolist() == ids.tolist()
+    k = len(s.lengths) - 1
+    assert s.ids(k).tolist() == ids[k * t.BLOCK :].tolist()
